@@ -46,15 +46,24 @@ def head_of_stripped(text: Column, length: int) -> Column:
     return F.regexp_extract(text, rf"(?sU)^[\s\x1C-\x1F]*+(.{{0,{length}}})", 1)
 
 
-def terms(text: Column, stop_words: Iterable[str] | None = None) -> Column:
-    """Terms of a text in order of appearance, repeats included, stop words left out."""
-    stops = list(default_stop_words() if stop_words is None else stop_words)
-    found = F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(stops)) if stops else found
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def term_counts(text: Column, stop_words: Iterable[str] | None = None) -> Column:
-    """``array<struct<term, tf>>`` sorted by term; empty for a text without terms.
+def terms(column: str, stop_words: Iterable[str] | None = None) -> Column:
+    """Terms of a text column in order of appearance, repeats included, stop words left out.
+
+    Written in SQL because a long word list is parsed there in one call.
+    """
+    stops = default_stop_words() if stop_words is None else tuple(stop_words)
+    found = f"regexp_extract_all(lower(`{column}`), r'{TERM_PATTERN}', 0)"
+    if stops:
+        found = f"filter({found}, t -> t NOT IN ({', '.join(map(_quoted, stops))}))"
+    return F.expr(found)
+
+
+def term_counts(column: str, stop_words: Iterable[str] | None = None) -> Column:
+    """``array<struct<term, tf>>`` sorted by term of a text column; empty if it has no terms.
 
     Counting happens inside the row: sort the terms, mark where a new one starts, and take the
     distance to the next mark. No row leaves its task, so counting a corpus needs no shuffle.
@@ -79,7 +88,7 @@ def term_counts(text: Column, stop_words: Iterable[str] | None = None) -> Column
         )
 
     return let(
-        F.sort_array(F.coalesce(terms(text, stop_words), F.array().cast("array<string>"))),
+        F.sort_array(F.coalesce(terms(column, stop_words), F.array().cast("array<string>"))),
         lambda run: F.when(F.size(run) > 0, from_sorted(run)).otherwise(
             F.array().cast(TERM_COUNTS_TYPE)
         ),

@@ -94,7 +94,7 @@ def pair_components(
         .otherwise(F.array().cast("array<string>"))
         .alias("matched"),
         F.when(
-            has_skills, tfidf_of_pair(text, F.col("job_terms"), F.col("nb"), stop_words)
+            has_skills, tfidf_of_pair("resume_text", F.col("job_terms"), F.col("nb"), stop_words)
         ).alias("tfidf"),
     )
 
@@ -186,7 +186,7 @@ def _evidence_in_place(
         .select(
             "candidate_id",
             F.lower("resume_text").alias("lowered"),
-            term_counts(F.col("resume_text"), stop_words).alias("counts"),
+            term_counts("resume_text", stop_words).alias("counts"),
         )
         .select(
             "candidate_id",
@@ -218,7 +218,7 @@ def _evidence_shuffled(
 ) -> DataFrame:
     """The same rows with an index that does not fit: terms and skills are shuffled, texts are not."""
     counts = resumes.select(
-        "candidate_id", term_counts(F.col("resume_text"), stop_words).alias("counts")
+        "candidate_id", term_counts("resume_text", stop_words).alias("counts")
     ).select("candidate_id", sum_of_squares(F.col("counts")).alias("na"), "counts")
     terms = counts.select("candidate_id", "na", F.explode("counts").alias("c")).select(
         "candidate_id", "na", F.col("c.term").alias("value"), "c.tf"

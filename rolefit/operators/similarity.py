@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
@@ -19,21 +19,23 @@ def term_frequencies(
 ) -> DataFrame:
     """``(key, term, tf)`` rows, counted inside each text's row."""
     return texts.select(
-        key, F.explode(term_counts(F.col(text), stop_words)).alias("c")
+        key, F.explode(term_counts(text, stop_words)).alias("c")
     ).select(key, "c.term", "c.tf")
 
 
 def job_terms(jobs: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """Term counts of each job description and the sum of their squares, computed once per job."""
     return jobs.select(
-        "job_id", term_counts(F.col("description"), stop_words).alias("job_terms")
+        "job_id", term_counts("description", stop_words).alias("job_terms")
     ).select("job_id", "job_terms", sum_of_squares(F.col("job_terms")).alias("nb"))
 
 
-def tfidf_of_pair(resume_text, job_terms_column, nb, stop_words: Iterable[str] | None = None):
-    """TF-IDF score of a text and the prepared terms of its job, inside the row."""
+def tfidf_of_pair(
+    text: str, job_terms_column: Column, nb: Column, stop_words: Iterable[str] | None = None
+) -> Column:
+    """TF-IDF score of a text column and the prepared terms of its job, inside the row."""
     return let(
-        term_counts(resume_text, stop_words),
+        term_counts(text, stop_words),
         lambda counts: let(
             F.struct(
                 sc.shared_sums(counts, job_terms_column).alias("s"),
@@ -57,7 +59,7 @@ def tfidf_applied(
     return paired.select(
         "candidate_id",
         "job_id",
-        tfidf_of_pair(F.col("resume_text"), F.col("job_terms"), F.col("nb"), stop_words).alias(
+        tfidf_of_pair("resume_text", F.col("job_terms"), F.col("nb"), stop_words).alias(
             "tfidf"
         ),
     )
@@ -73,7 +75,7 @@ def tfidf_all_pairs(
     because there are many more pairs than résumés.
     """
     counted = (
-        resumes.select("candidate_id", term_counts(F.col("resume_text"), stop_words).alias("c"))
+        resumes.select("candidate_id", term_counts("resume_text", stop_words).alias("c"))
         .repartition("candidate_id")
         .select("candidate_id", sum_of_squares(F.col("c")).alias("na"), F.explode("c").alias("c"))
         .select("candidate_id", "na", "c.term", "c.tf")

@@ -1,6 +1,6 @@
 """Skills of a corpus against a vocabulary table, and stored skill lists as rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import skills as sk
@@ -81,13 +81,14 @@ def extract_skills(
 
 def explode_skills(scores: DataFrame) -> DataFrame:
     """One row per candidate and skill, marked matched or missing."""
-    tagged = [
-        F.transform(
+
+    def tagged(column: str, kind: str) -> Column:
+        return F.transform(
             sk.split_skills(F.col(column)),
-            lambda s, kind=kind: F.struct(s.alias("skill"), F.lit(kind).alias("kind")),
+            lambda s: F.struct(s.alias("skill"), F.lit(kind).alias("kind")),
         )
-        for column, kind in (("matched_skills", "matched"), ("missing_skills", "missing"))
-    ]
-    return scores.select(
-        "candidate_id", "job_id", F.explode(F.concat(*tagged)).alias("tag")
-    ).select("candidate_id", "job_id", "tag.skill", "tag.kind")
+
+    tags = F.concat(tagged("matched_skills", "matched"), tagged("missing_skills", "missing"))
+    return scores.select("candidate_id", "job_id", F.explode(tags).alias("tag")).select(
+        "candidate_id", "job_id", "tag.skill", "tag.kind"
+    )

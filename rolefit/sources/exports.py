@@ -43,9 +43,9 @@ def read_exported_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read an export back, with the job it belongs to."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in REPORT_COLUMNS])
     schema.add("job_id", T.LongType()).add("part", T.LongType())
-    options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("nullValue", "lineSep")}
     return (
         spark.read.schema(schema)
-        .options(**options, multiLine=True, nullValue="\u0000")
+        .options(**CSV_OPTIONS, multiLine=True)
         .csv(path)
+        .na.fill("", list(REPORT_COLUMNS))
     )

@@ -441,9 +441,11 @@ SELECT l_orderkey, l_linenumber, round_even((CASE
     "score_all_pairs": _with(ALL_PAIRS[0], VOCABULARY, ALL_PAIRS[1], ALL_PAIR_TFIDF, ALL_PAIR_SKILLS)
     + """SELECT candidate_id, job_id, matching_score, matched_skills, missing_skills
 FROM scored WHERE matching_score > 0""",
-    "candidate_profiles": _with(*PROFILED) + f"{ALL_COLUMNS} profiles",
+    "candidate_profiles": _with(*PROFILED)
+    + f"SELECT * REPLACE ({MINUTES}, CAST(score_id AS VARCHAR) AS score_id) FROM profiles",
     "first_score": _with(*PROFILED)
-    + """SELECT candidate_id, score_id, coalesce(matching_score, 0.0::DOUBLE) AS matching_score
+    + """SELECT candidate_id, CAST(score_id AS VARCHAR) AS score_id,
+  coalesce(matching_score, 0.0::DOUBLE) AS matching_score
 FROM profiles""",
     "candidates_for_job": _with(*BASE, CANDIDATES)
     + f"{ALL_COLUMNS} candidates WHERE job_id = 7",

@@ -240,7 +240,9 @@ def explode_skills(spark, d):
 
 
 def candidate_profiles(spark, d):
-    return _with_minute(st.profiles(spark, d))
+    return _with_minute(st.profiles(spark, d)).withColumn(
+        "score_id", F.col("score_id").cast("string")
+    )
 
 
 def first_score(spark, d):
@@ -250,7 +252,7 @@ def first_score(spark, d):
         .join(first, "candidate_id", "left")
         .select(
             "candidate_id",
-            "score_id",
+            F.col("score_id").cast("string").alias("score_id"),
             F.coalesce("matching_score", F.lit(0.0)).alias("matching_score"),
         )
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from rolefit.operators.lookups import candidate_profiles
 from rolefit.operators.profiles import parse_profiles
 from rolefit.operators.scoring import score_candidates
-from rolefit.plans.joins import sized_join
 from rolefit.plans.layout import spread_small_scan
 
 N_JOBS = 40  # every scale has at least these
@@ -75,7 +74,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).otherwise(""),
     )
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return sized_join(keyed, wanted, ["job_id"], spread="doc_id").select(
+    return keyed.join(wanted, "job_id").select(
         doc_id.alias("candidate_id"),
         "job_id",
         filename().alias("filename"),
