@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
 from rolefit.functions import skills as sk
-from rolefit.functions.binding import let
+from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import is_blank, sum_of_squares, term_counts, word_tokens
 from rolefit.operators.similarity import job_terms, tfidf_of_pair
 from rolefit.operators.skills import extract_skills, skill_hits
@@ -149,13 +149,17 @@ def score_candidates(
 
 
 def _job_term_index(features: DataFrame) -> DataFrame:
-    return features.select("job_id", F.explode("job_terms").alias("c")).select(
-        F.lit("term").alias("kind"),
-        F.col("c.term").alias("value"),
-        "job_id",
-        F.col("c.tf").alias("job_tf"),
-        F.lit(None).cast("int").alias("position"),
-        F.lit(None).cast("string").alias("pattern"),
+    return (
+        features.select("job_id", explode_once(F.col("job_terms")).alias("c"))
+        .filter(F.col("c").isNotNull())
+        .select(
+            F.lit("term").alias("kind"),
+            F.col("c.term").alias("value"),
+            "job_id",
+            F.col("c.tf").alias("job_tf"),
+            F.lit(None).cast("int").alias("position"),
+            F.lit(None).cast("string").alias("pattern"),
+        )
     )
 
 
@@ -181,6 +185,13 @@ def _evidence_in_place(
             F.lit(kind).alias("kind"), value.alias("value"), tf.cast("bigint").alias("tf")
         )
 
+    clues = F.concat(
+        F.transform("counts", lambda c: clue("term", c["term"], c["tf"])),
+        F.transform(
+            F.array_union(word_tokens(F.col("lowered")), F.array(F.lit("")).cast("array<string>")),
+            lambda t: clue("skill", t, F.lit(None)),
+        ),
+    )
     located = (
         resumes.repartition("candidate_id")
         .select(
@@ -192,18 +203,9 @@ def _evidence_in_place(
             "candidate_id",
             "lowered",
             sum_of_squares(F.col("counts")).alias("na"),
-            F.explode(
-                F.concat(
-                    F.transform("counts", lambda c: clue("term", c["term"], c["tf"])),
-                    F.transform(
-                        F.array_union(
-                            word_tokens(F.col("lowered")), F.array(F.lit("")).cast("array<string>")
-                        ),
-                        lambda t: clue("skill", t, F.lit(None)),
-                    ),
-                )
-            ).alias("clue"),
+            clues.alias("clues"),
         )
+        .select("candidate_id", "lowered", "na", explode_once(F.col("clues")).alias("clue"))
         .select("candidate_id", "lowered", "na", "clue.kind", "clue.value", "clue.tf")
     )
     return (
@@ -220,8 +222,10 @@ def _evidence_shuffled(
     counts = resumes.select(
         "candidate_id", term_counts("resume_text", stop_words).alias("counts")
     ).select("candidate_id", sum_of_squares(F.col("counts")).alias("na"), "counts")
-    terms = counts.select("candidate_id", "na", F.explode("counts").alias("c")).select(
-        "candidate_id", "na", F.col("c.term").alias("value"), "c.tf"
+    terms = (
+        counts.select("candidate_id", "na", explode_once(F.col("counts")).alias("c"))
+        .select("candidate_id", "na", F.col("c.term").alias("value"), "c.tf")
+        .filter(F.col("value").isNotNull())
     )
     shared_terms = salted_join(
         terms,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
-from rolefit.functions.binding import let
+from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import sum_of_squares, term_counts
 from rolefit.plans.joins import sized_join
 
@@ -18,9 +18,11 @@ def term_frequencies(
     stop_words: Iterable[str] | None = None,
 ) -> DataFrame:
     """``(key, term, tf)`` rows, counted inside each text's row."""
-    return texts.select(
-        key, F.explode(term_counts(text, stop_words)).alias("c")
-    ).select(key, "c.term", "c.tf")
+    return (
+        texts.select(key, explode_once(term_counts(text, stop_words)).alias("c"))
+        .select(key, "c.term", "c.tf")
+        .filter(F.col("term").isNotNull())
+    )
 
 
 def job_terms(jobs: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
@@ -71,19 +73,22 @@ def tfidf_all_pairs(
     """TF-IDF score of every résumé and job that share a term.
 
     An absent pair scores 0, or NULL if neither text has a term. Résumés are placed by candidate
-    once, as one row of counts each; the sums per pair then need no further shuffle, which matters
-    because there are many more pairs than résumés.
+    once; the sums per pair then need no further shuffle, which matters because there are many more
+    pairs than résumés.
     """
     counted = (
-        resumes.select("candidate_id", term_counts("resume_text", stop_words).alias("c"))
+        resumes.select("candidate_id", "resume_text")
         .repartition("candidate_id")
-        .select("candidate_id", sum_of_squares(F.col("c")).alias("na"), F.explode("c").alias("c"))
+        .select("candidate_id", term_counts("resume_text", stop_words).alias("counts"))
+        .select("candidate_id", sum_of_squares(F.col("counts")).alias("na"), "counts")
+        .select("candidate_id", "na", explode_once(F.col("counts")).alias("c"))
         .select("candidate_id", "na", "c.term", "c.tf")
     )
     index = (
         job_terms(jobs, stop_words)
-        .select("job_id", "nb", F.explode("job_terms").alias("c"))
+        .select("job_id", "nb", explode_once(F.col("job_terms")).alias("c"))
         .select("job_id", "nb", "c.term", F.col("c.tf").alias("job_tf"))
+        .filter(F.col("term").isNotNull())
     )
     tf, job_tf = F.col("tf"), F.col("job_tf")
     return (

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import skills as sk
+from rolefit.functions.binding import explode_once
 from rolefit.functions.text import word_tokens
 from rolefit.plans.joins import fits_broadcast, salted_join
 
@@ -29,7 +30,7 @@ def _tokens(texts: DataFrame, key: str, *carried) -> DataFrame:
     tokens = F.array_union(
         word_tokens(F.lower("text")), F.array(F.lit("")).cast("array<string>")
     )
-    return texts.select(key, *carried, F.explode(tokens).alias("token"))
+    return texts.select(key, *carried, explode_once(tokens).alias("token"))
 
 
 def skill_hits(
@@ -89,6 +90,8 @@ def explode_skills(scores: DataFrame) -> DataFrame:
         )
 
     tags = F.concat(tagged("matched_skills", "matched"), tagged("missing_skills", "missing"))
-    return scores.select("candidate_id", "job_id", F.explode(tags).alias("tag")).select(
-        "candidate_id", "job_id", "tag.skill", "tag.kind"
+    return (
+        scores.select("candidate_id", "job_id", explode_once(tags).alias("tag"))
+        .select("candidate_id", "job_id", "tag.skill", "tag.kind")
+        .filter(F.col("skill").isNotNull())
     )
