@@ -10,21 +10,39 @@ from rolefit.functions import skills as sk
 from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import is_blank, sum_of_squares, term_counts, word_tokens
 from rolefit.operators.similarity import job_terms, tfidf_of_pair
-from rolefit.operators.skills import extract_skills, skill_hits
-from rolefit.plans.joins import fits_broadcast, salted_join, sized_join
+from rolefit.operators.skills import (
+    VocabularySize,
+    extract_skills,
+    skill_hits,
+    vocabulary_size,
+)
+from rolefit.plans.joins import fits_broadcast, salted_join, sized_join, text_size
 
 MASK_BITS = 62
 
 
+def features_bound(jobs: DataFrame, size: VocabularySize) -> int:
+    """Upper bound of ``job_features`` in bytes, from measured texts and vocabulary.
+
+    Terms and plain skills are bounded by the text they are read from. Other skills may overlap in
+    the text, so each job is charged with all of them.
+    """
+    rows, text_bytes = text_size(jobs, "description")
+    return 64 * text_bytes + rows * (512 + 192 * size.other_rows + 8 * size.other_bytes)
+
+
 def job_features(
-    jobs: DataFrame, vocabulary: DataFrame, stop_words: Iterable[str] | None = None
+    jobs: DataFrame,
+    vocabulary: DataFrame,
+    stop_words: Iterable[str] | None = None,
+    size: VocabularySize | None = None,
 ) -> DataFrame:
     """Everything a score needs from a job, computed once per job.
 
     ``job_id, job_skills, plain_skills, other_skills, job_terms, nb``. ``other_skills`` are those that
     have to be confirmed by a pattern in the résumé.
     """
-    found = extract_skills(jobs, vocabulary, "job_id", "description")
+    found = extract_skills(jobs, vocabulary, "job_id", "description", size=size)
     skills = F.col("skills")
     return found.join(job_terms(jobs, stop_words), "job_id").select(
         "job_id",
@@ -81,8 +99,15 @@ def pair_components(
     The vocabulary only ever meets the jobs; a résumé is searched for the skills of its own job. All
     work on a résumé happens in its own row, so with jobs that fit no résumé text is shuffled.
     """
-    features = job_features(jobs, vocabulary, stop_words)
-    paired = sized_join(resumes, features, ["job_id"], spread="candidate_id", limit=limit)
+    size = vocabulary_size(vocabulary)
+    paired = sized_join(
+        resumes,
+        job_features(jobs, vocabulary, stop_words, size),
+        ["job_id"],
+        spread="candidate_id",
+        limit=limit,
+        bound=features_bound(jobs, size),
+    )
     has_skills = F.size("job_skills") > 0
     text = F.col("resume_text")
     return paired.select(
@@ -268,9 +293,11 @@ def score_all_pairs(
     readable = resumes.filter(~is_blank(F.col("resume_text"))).select(
         "candidate_id", "resume_text"
     )
-    features = job_features(jobs, vocabulary, stop_words).filter(F.size("job_skills") > 0)
+    size = vocabulary_size(vocabulary)
+    bound = features_bound(jobs, size)
+    features = job_features(jobs, vocabulary, stop_words, size).filter(F.size("job_skills") > 0)
     index = _job_term_index(features).unionByName(_job_skill_index(features))
-    if fits_broadcast(index, limit):
+    if fits_broadcast(index, limit, 2 * bound):
         evidence = _evidence_in_place(readable, index, stop_words)
     else:
         evidence = _evidence_shuffled(readable, features, stop_words)
@@ -296,7 +323,12 @@ def score_all_pairs(
     )
     masks = F.array(*(F.col(f"mask_{w}") for w in words))
     scored = sized_join(
-        pairs, features.select("job_id", "job_skills", "nb"), ["job_id"], spread="candidate_id"
+        pairs,
+        features.select("job_id", "job_skills", "nb"),
+        ["job_id"],
+        spread="candidate_id",
+        limit=limit,
+        bound=bound,
     ).select(
         "candidate_id",
         "job_id",

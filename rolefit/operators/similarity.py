@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import scores as sc
 from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import sum_of_squares, term_counts
-from rolefit.plans.joins import sized_join
+from rolefit.plans.joins import sized_join, text_size
 
 
 def term_frequencies(
@@ -32,6 +32,16 @@ def job_terms(jobs: DataFrame, stop_words: Iterable[str] | None = None) -> DataF
     ).select("job_id", "job_terms", sum_of_squares(F.col("job_terms")).alias("nb"))
 
 
+def job_terms_bound(jobs: DataFrame) -> int:
+    """Upper bound of ``job_terms`` in bytes, from the measured texts.
+
+    A term takes at least three bytes of text (two and a separator) and at most 48 more than its own
+    as a counted entry.
+    """
+    rows, text_bytes = text_size(jobs, "description")
+    return 24 * text_bytes + 256 * rows
+
+
 def tfidf_of_pair(
     text: str, job_terms_column: Column, nb: Column, stop_words: Iterable[str] | None = None
 ) -> Column:
@@ -57,6 +67,7 @@ def tfidf_applied(
         job_terms(jobs, stop_words),
         ["job_id"],
         spread="candidate_id",
+        bound=job_terms_bound(jobs),
     )
     return paired.select(
         "candidate_id",
@@ -92,7 +103,9 @@ def tfidf_all_pairs(
     )
     tf, job_tf = F.col("tf"), F.col("job_tf")
     return (
-        sized_join(counted, index, ["term"], spread="candidate_id")
+        sized_join(
+            counted, index, ["term"], spread="candidate_id", bound=2 * job_terms_bound(jobs)
+        )
         .groupBy("candidate_id", "job_id")
         .agg(
             F.sum(tf * job_tf).alias("dot"),

@@ -1,5 +1,7 @@
 """Skills of a corpus against a vocabulary table, and stored skill lists as rows."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,40 @@ from rolefit.functions.text import word_tokens
 from rolefit.plans.joins import fits_broadcast, salted_join
 
 
+@dataclass(frozen=True)
+class VocabularySize:
+    """Measured rows and bytes of a vocabulary, and of its skills that need a pattern."""
+
+    rows: int
+    bytes: int
+    other_rows: int
+    other_bytes: int
+
+    @property
+    def index_bound(self) -> int:
+        """Upper bound of the index: the skill, its token, its pattern and fixed parts per row."""
+        return 4 * self.bytes + 160 * self.rows
+
+
+def vocabulary_size(vocabulary: DataFrame) -> VocabularySize:
+    """Measure a vocabulary once, in one scan."""
+    skill = F.col("skill")
+    length = F.octet_length(skill)
+    other = ~sk.is_plain(skill)
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    return VocabularySize(
+        *vocabulary.agg(
+            F.count(skill),
+            total(length),
+            F.count_if(other),
+            total(F.when(other, length)),
+        ).first()
+    )
+
+
 def vocabulary_index(vocabulary: DataFrame) -> DataFrame:
     """Vocabulary keyed by the first token of each skill, with the pattern to confirm it."""
     skill = F.col("skill")
@@ -39,6 +75,7 @@ def skill_hits(
     key: str = "doc_id",
     text: str = "text",
     limit: int | None = None,
+    size: VocabularySize | None = None,
 ) -> DataFrame:
     """``(key, skill)`` rows, plus one row with a NULL skill per text.
 
@@ -50,7 +87,8 @@ def skill_hits(
     texts = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     index = vocabulary_index(vocabulary)
     keep = F.col("skill").isNotNull() | (F.col("token") == "")
-    if fits_broadcast(index, limit):
+    size = size or vocabulary_size(vocabulary)
+    if fits_broadcast(index, limit, size.index_bound):
         found = _tokens(texts, key, "text").join(F.broadcast(index), "token", "left").filter(keep)
         confirmed = F.col("pattern").isNull() | F.rlike(F.lower("text"), F.col("pattern"))
         return found.select(key, F.when(confirmed, F.col("skill")).alias("skill"))
@@ -71,10 +109,11 @@ def extract_skills(
     key: str = "doc_id",
     text: str = "text",
     limit: int | None = None,
+    size: VocabularySize | None = None,
 ) -> DataFrame:
     """One row per text with its sorted distinct skills; an empty array where there are none."""
     return (
-        skill_hits(texts, vocabulary, key, text, limit)
+        skill_hits(texts, vocabulary, key, text, limit, size)
         .groupBy(key)
         .agg(F.sort_array(F.collect_set("skill")).alias("skills"))
     )

@@ -16,9 +16,23 @@ def payload_bytes(frame: DataFrame) -> int:
     return frame.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
-def fits_broadcast(frame: DataFrame, limit: int | None = None) -> bool:
-    """Whether the measured size of a frame is within the broadcast limit."""
-    return payload_bytes(frame) <= (BROADCAST_BYTES if limit is None else limit)
+def fits_broadcast(frame: DataFrame, limit: int | None = None, bound: int | None = None) -> bool:
+    """Whether the size of a frame is within the broadcast limit.
+
+    ``bound`` is an upper bound the caller derived from measured inputs. If it settles the question,
+    the frame itself need not be computed to measure it.
+    """
+    allowed = BROADCAST_BYTES if limit is None else limit
+    if bound is not None and bound <= allowed:
+        return True
+    return payload_bytes(frame) <= allowed
+
+
+def text_size(frame: DataFrame, column: str) -> tuple[int, int]:
+    """Measured rows and bytes of a text column: one scan of that column."""
+    size = F.coalesce(F.sum(F.octet_length(column)), F.lit(0))
+    rows, total = frame.agg(F.count(F.lit(1)), size).first()
+    return rows, total
 
 
 def sized_join(
@@ -28,13 +42,14 @@ def sized_join(
     how: str = "inner",
     spread: str | None = None,
     limit: int | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """Join that broadcasts ``small`` only if it was measured to fit, else shuffles with salt.
 
     ``how`` may be inner, left, left_semi or left_anti. ``spread`` names a column of ``large`` that
     varies within a key; it decides which copy of a hot key a row goes to.
     """
-    if fits_broadcast(small, limit):
+    if fits_broadcast(small, limit, bound):
         return large.join(F.broadcast(small), on, how)
     return salted_join(large, small, on, how, spread)
 
