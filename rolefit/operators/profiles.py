@@ -10,9 +10,12 @@ from rolefit.functions.text import is_blank
 RESUME_FOLDER = "resumes/"
 
 
-def profile_columns(
-    text: Column, candidate_id: Column, filename: Column
-) -> dict[str, Column]:
+def resume_path(filename: Column) -> Column:
+    """Where the file of a résumé is kept."""
+    return F.concat(F.lit(RESUME_FOLDER), filename)
+
+
+def profile_columns(text: Column, candidate_id: Column, filename: Column) -> dict[str, Column]:
     """Profile fields as expressions over one row. A text that could not be read gives defaults."""
     blank = is_blank(text)
     years = F.when(blank, F.lit(0).cast("bigint")).otherwise(
@@ -38,7 +41,7 @@ def parse_profiles(resumes: DataFrame) -> DataFrame:
     return resumes.select(
         "candidate_id",
         *(column.alias(name) for name, column in fields.items()),
-        F.concat(F.lit(RESUME_FOLDER), F.col("filename")).alias("resume_path"),
+        resume_path(F.col("filename")).alias("resume_path"),
         "job_id",
         "created_at",
     ).select(

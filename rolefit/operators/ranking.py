@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rolefit.session import ensure_checkpoint_dir
 
 # Candidates of one job that a single task may sort. Jobs above it are ranked across tasks.
-HOT_JOB_ROWS = 5_000_000
+HOT_JOB_ROWS = 1_000_000
 PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 
 

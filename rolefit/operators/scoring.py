@@ -1,6 +1,6 @@
 """Scores of résumés against jobs, for applications and for every pair."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from rolefit.operators.skills import (
     vocabulary_size,
 )
 from rolefit.plans.joins import fits_broadcast, salted_join, sized_join, text_size
+from rolefit.schemas import SCORES
+from rolefit.session import ensure_checkpoint_dir
 
 MASK_BITS = 62
 
@@ -108,19 +110,42 @@ def pair_components(
         limit=limit,
         bound=features_bound(jobs, size),
     )
-    has_skills = F.size("job_skills") > 0
-    text = F.col("resume_text")
     return paired.select(
         *resumes.columns,
         "job_skills",
-        F.when(
-            has_skills, skills_of_job_in(text, F.col("plain_skills"), F.col("other_skills"))
-        )
-        .otherwise(F.array().cast("array<string>"))
-        .alias("matched"),
-        F.when(
-            has_skills, tfidf_of_pair("resume_text", F.col("job_terms"), F.col("nb"), stop_words)
-        ).alias("tfidf"),
+        *(column.alias(name) for name, column in pair_columns(stop_words).items()),
+    )
+
+
+def pair_columns(stop_words: Iterable[str] | None = None) -> dict[str, Column]:
+    """``matched`` and ``tfidf`` of a résumé that has been joined with the features of its job."""
+    has_skills = F.size("job_skills") > 0
+    found = skills_of_job_in(F.col("resume_text"), F.col("plain_skills"), F.col("other_skills"))
+    return {
+        "matched": F.when(has_skills, found).otherwise(F.array().cast("array<string>")),
+        "tfidf": F.when(
+            has_skills,
+            tfidf_of_pair("resume_text", F.col("job_terms"), F.col("nb"), stop_words),
+        ),
+    }
+
+
+def score_columns(
+    parts: DataFrame, *columns: str | Column, wrap: Callable[[Column], Column] = lambda c: c
+) -> DataFrame:
+    """``columns`` of ``parts(candidate_id, job_skills, matched, tfidf, semantic)`` and its score."""
+    keyword = sc.keyword_score(F.col("matched"), F.col("job_skills"))
+    score = sc.blend_scores(keyword, F.col("tfidf"), F.col("semantic"))
+    missing = sk.missing_skills(F.col("job_skills"), F.col("matched"))
+    values = {
+        "score_id": F.col("candidate_id"),
+        "matching_score": F.col("_score"),
+        "matched_skills": sk.join_skills(F.col("matched")),
+        "missing_skills": sk.join_skills(missing),
+        "explanation": sc.score_explanation(F.size("matched"), F.col("_score")),
+    }
+    return parts.withColumn("_score", F.coalesce(score, F.lit(0.0))).select(
+        *columns, *(wrap(value).alias(name) for name, value in values.items())
     )
 
 
@@ -152,24 +177,8 @@ def score_candidates(
         parts = parts.join(semantic.select("candidate_id", "semantic"), "candidate_id", "left")
     else:
         parts = parts.withColumn("semantic", F.lit(None).cast("double"))
-    keyword = sc.keyword_score(F.col("matched"), F.col("job_skills"))
-    return (
-        parts.withColumn(
-            "matching_score",
-            F.coalesce(sc.blend_scores(keyword, F.col("tfidf"), F.col("semantic")), F.lit(0.0)),
-        )
-        .select(
-            F.col("candidate_id").alias("score_id"),
-            "candidate_id",
-            "job_id",
-            "matching_score",
-            sk.join_skills(F.col("matched")).alias("matched_skills"),
-            sk.join_skills(sk.missing_skills(F.col("job_skills"), F.col("matched"))).alias(
-                "missing_skills"
-            ),
-            sc.score_explanation(F.size("matched"), F.col("matching_score")).alias("explanation"),
-            "created_at",
-        )
+    return score_columns(parts, "candidate_id", "job_id", "created_at").select(
+        *SCORES.fieldNames()
     )
 
 
@@ -295,7 +304,12 @@ def score_all_pairs(
     )
     size = vocabulary_size(vocabulary)
     bound = features_bound(jobs, size)
-    features = job_features(jobs, vocabulary, stop_words, size).filter(F.size("job_skills") > 0)
+    ensure_checkpoint_dir(resumes.sparkSession)
+    features = (
+        job_features(jobs, vocabulary, stop_words, size)
+        .filter(F.size("job_skills") > 0)
+        .checkpoint()  # read by the index, by the length of the masks and by the result
+    )
     index = _job_term_index(features).unionByName(_job_skill_index(features))
     if fits_broadcast(index, limit, 2 * bound):
         evidence = _evidence_in_place(readable, index, stop_words)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # Largest side, in bytes of its text form, that is sent whole to every executor.
 BROADCAST_BYTES = 128 * 1024 * 1024
 # Rows of one key that a single task may be given when both sides have to be shuffled.
-HOT_KEY_ROWS = 2_000_000
+HOT_KEY_ROWS = 100_000
 ROW_OVERHEAD = 32
 
 

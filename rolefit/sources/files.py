@@ -14,6 +14,9 @@ RESOURCE_PREFIX = "__MACOSX"
 # A binary cell cannot hold more.
 MAX_MEMBER_BYTES = 2**31 - 1
 
+# Contents handed on at once by a task that reads archives.
+BLOCK_BYTES = 8 * 1024 * 1024
+
 MEMBER_SCHEMA = "archive string, entry string, member string, content binary, error string"
 
 
@@ -43,47 +46,50 @@ def expand_archives(
 
     Entries count when they end in .pdf (any case) and are not operating-system resources; equal
     names in different folders are all kept. What cannot be read (a broken archive or entry, an entry
-    above ``max_member_bytes``) becomes a row with ``error`` set. Members are handed on one by one, so
-    a task holds one archive and one member at a time.
+    above ``max_member_bytes``) becomes a row with ``error`` set. A task opens one archive at a time and
+    hands its members on in blocks.
     """
-    suffix, resource_prefix, schema_columns = (
-        DOCUMENT_SUFFIX,
-        RESOURCE_PREFIX,
-        ["archive", "entry", "member", "content", "error"],
-    )
+    suffix, resource_prefix, block_bytes = DOCUMENT_SUFFIX, RESOURCE_PREFIX, BLOCK_BYTES
+    columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(archive: str, content: bytes):
         import io
         import zipfile
 
-        import pandas
+        try:
+            opened = zipfile.ZipFile(io.BytesIO(content))
+        except Exception as problem:
+            yield archive, None, None, None, str(problem)
+            return
+        with opened:
+            for info in opened.infolist():
+                entry = info.filename
+                member = entry.rsplit("/", 1)[-1]
+                wanted = entry.lower().endswith(suffix) and member != ""
+                if not wanted or entry.startswith(resource_prefix):
+                    continue
+                if info.file_size > max_member_bytes:
+                    yield archive, entry, member, None, "member is too large"
+                    continue
+                try:
+                    yield archive, entry, member, opened.read(info), None
+                except Exception as problem:
+                    yield archive, entry, member, None, str(problem)
 
-        def row(archive, entry=None, member=None, content=None, error=None):
-            return pandas.DataFrame(
-                [(archive, entry, member, content, error)], columns=schema_columns
-            ).astype(object)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas
 
+        block, held = [], 0
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    opened = zipfile.ZipFile(io.BytesIO(content))
-                except Exception as problem:
-                    yield row(archive, error=str(problem))
-                    continue
-                with opened:
-                    for info in opened.infolist():
-                        entry = info.filename
-                        member = entry.rsplit("/", 1)[-1]
-                        wanted = entry.lower().endswith(suffix) and member != ""
-                        if not wanted or entry.startswith(resource_prefix):
-                            continue
-                        if info.file_size > max_member_bytes:
-                            yield row(archive, entry, member, error="member is too large")
-                            continue
-                        try:
-                            yield row(archive, entry, member, opened.read(info))
-                        except Exception as problem:
-                            yield row(archive, entry, member, error=str(problem))
+                for row in members(archive, content):
+                    block.append(row)
+                    held += len(row[3] or b"")
+                    if held >= block_bytes or len(block) >= 1000:
+                        yield pandas.DataFrame(block, columns=columns, dtype=object)
+                        block, held = [], 0
+        if block:
+            yield pandas.DataFrame(block, columns=columns, dtype=object)
 
     return files.select(F.col(path).alias("path"), "content").mapInPandas(read, MEMBER_SCHEMA)
 

@@ -56,7 +56,7 @@ def write_and_read_table(spark, d):
 
 def export_csv(spark, d):
     path = scratch_path(spark, "export")
-    ranked = ranking.rank_candidates(st.profiles(spark, d))
+    ranked = ranking.rank_candidates(st.screened(spark, d))
     exports.export_csv(ranked, path)
     return exports.read_exported_csv(spark, path).drop("part")
 
@@ -316,14 +316,14 @@ def candidate_counts(spark, d):
 
 
 def rank_candidates(spark, d):
-    return ranking.rank_candidates(st.profiles(spark, d)).select(
+    return ranking.rank_candidates(st.screened(spark, d)).select(
         "job_id", "candidate_id", "name", "matching_score", "matched_skills", "missing_skills",
         F.col("rank").cast("bigint").alias("rank"),
     )
 
 
 def top_k_candidates(spark, d):
-    top = ranking.top_k_candidates(st.profiles(spark, d))
+    top = ranking.top_k_candidates(st.screened(spark, d))
     return top.select(
         "job_id", "candidate_id", "matching_score", F.col("rank").cast("bigint").alias("rank"),
         sc.rank_badge(F.col("rank")).alias("badge"),
@@ -336,7 +336,7 @@ def list_jobs(spark, d):
 
 def latest_job_candidates(spark, d):
     latest = ranking.latest_job_candidates(
-        st.profiles(spark, d), _jobs_with_candidates(spark, d)
+        st.screened(spark, d), _jobs_with_candidates(spark, d)
     )
     return latest.select(
         "job_id", "candidate_id", "matching_score", F.col("rank").cast("bigint").alias("rank")
@@ -359,27 +359,27 @@ def report_status(spark, d):
 
 
 def score_band(spark, d):
-    return st.profiles(spark, d).select(
+    return st.screened(spark, d).select(
         "candidate_id", sc.score_band(F.col("matching_score")).alias("band")
     )
 
 
 def candidate_report(spark, d):
-    return report(st.profiles(spark, d), "candidate_id")
+    return report(st.screened(spark, d), "candidate_id")
 
 
 def notification_decisions(spark, d):
-    return notify.notification_decisions(st.profiles(spark, d)).select(
+    return notify.notification_decisions(st.screened(spark, d)).select(
         "candidate_id", "job_id", "email", "matching_score", "status"
     )
 
 
 def notification_outbox(spark, d):
-    return notify.notification_outbox(st.profiles(spark, d))
+    return notify.notification_outbox(st.screened(spark, d))
 
 
 def email_prompts(spark, d):
-    return notify.email_prompts(st.profiles(spark, d))
+    return notify.email_prompts(st.screened(spark, d))
 
 
 # Streaming

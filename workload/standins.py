@@ -12,6 +12,7 @@ from rolefit.operators.lookups import candidate_profiles
 from rolefit.operators.profiles import parse_profiles
 from rolefit.operators.scoring import score_candidates
 from rolefit.plans.layout import spread_small_scan
+from rolefit.plans.screening import screen_resumes
 
 N_JOBS = 40  # every scale has at least these
 
@@ -223,3 +224,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_profiles(
         candidates(spark, sf_dir), jobs(spark, sf_dir), scores(spark, sf_dir)
     )
+
+
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``profiles``, from one pass over the résumés."""
+    return screen_resumes(
+        resumes(spark, sf_dir), jobs(spark, sf_dir), vocabulary(spark, sf_dir)
+    )
