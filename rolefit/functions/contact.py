@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 # Patterns that decide what counts as an address or a number. The address pattern is
 # anchored to the start of a run and reads it possessively, which finds the same first match but
-# stays linear on long runs without an "@".
+# stays linear on long runs without an "@". The number pattern first looks at one character.
 EMAIL_PATTERN = r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_PATTERN = r"(?U)\+?\d{10,13}|\+?\d{2,4}[\s\x1C-\x1F\-]?\d{6,8}"
+PHONE_PATTERN = r"(?U)(?=[+\d])(?:\+?\d{10,13}|\+?\d{2,4}[\s\x1C-\x1F\-]?\d{6,8})"
 
 # The placeholder address of a candidate without one.
 PLACEHOLDER_PREFIX = "noemail_"

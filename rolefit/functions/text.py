@@ -14,8 +14,9 @@ from rolefit.functions.binding import let
 TERM_COUNTS_TYPE = "array<struct<term:string,tf:bigint>>"
 
 # Runs of at least two letters, digits or underscores in any script. Combining marks do not count,
-# which is why \w (with the Unicode flag) is not used. The ASCII part only speeds up the matcher.
-TERM_PATTERN = r"[a-z0-9_\p{L}\p{N}]{2,}+"
+# which is why \w (with the Unicode flag) is not used. ASCII is decided first, so that the blanks and
+# marks between words cost no look at a character's category.
+TERM_PATTERN = r"[a-z0-9_[\x{80}-\x{10FFFF}&&[\p{L}\p{N}]]]{2,}+"
 
 
 @lru_cache(maxsize=1)
@@ -102,4 +103,4 @@ def sum_of_squares(counts: Column) -> Column:
 
 def word_tokens(lowered: Column) -> Column:
     """Distinct ``[a-z0-9]+`` runs of a lower-cased text."""
-    return F.array_distinct(F.split(lowered, "[^a-z0-9]+"))
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0)))

@@ -1,6 +1,7 @@
 """Screening in one pass: profile and score of every résumé without leaving its row."""
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,31 +14,38 @@ from rolefit.operators.skills import vocabulary_size
 from rolefit.plans.joins import sized_join
 
 
+@dataclass(frozen=True)
+class PreparedJobs:
+    """Features and title of every job, and an upper bound of their size in bytes."""
 
-def screen_resumes(
+    features: DataFrame
+    bound: int
+
+
+def prepare_jobs(
+    jobs: DataFrame, vocabulary: DataFrame, stop_words: Iterable[str] | None = None
+) -> PreparedJobs:
+    """Everything screening needs from the jobs and the vocabulary."""
+    size = vocabulary_size(vocabulary)
+    titles = jobs.select("job_id", F.col("title").alias("job_title"))
+    features = job_features(jobs, vocabulary, stop_words, size).join(titles, "job_id")
+    return PreparedJobs(features, features_bound(jobs, size))
+
+
+def screen_prepared(
     resumes: DataFrame,
-    jobs: DataFrame,
-    vocabulary: DataFrame,
+    prepared: PreparedJobs,
     stop_words: Iterable[str] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Candidate, job title and score of every résumé, as one row.
-
-    The same rows as ``candidate_profiles`` over freshly parsed and scored tables, but each text is
-    read once and, with jobs that fit, nothing is shuffled. The score is NULL for a résumé that could
-    not be read.
-    """
-    size = vocabulary_size(vocabulary)
-    features = job_features(jobs, vocabulary, stop_words, size).join(
-        jobs.select("job_id", F.col("title").alias("job_title")), "job_id"
-    )
+    """``screen_resumes`` for jobs that have been prepared."""
     paired = sized_join(
         resumes,
-        features,
+        prepared.features,
         ["job_id"],
         spread="candidate_id",
         limit=limit,
-        bound=features_bound(jobs, size),
+        bound=prepared.bound,
     )
     profile = profile_columns(F.col("resume_text"), F.col("candidate_id"), F.col("filename"))
     parsed = paired.select(
@@ -48,16 +56,16 @@ def screen_resumes(
         resume_path(F.col("filename")).alias("resume_path"),
         is_blank(F.col("resume_text")).alias("blank"),
         "job_skills",
+        F.lit(None).cast("double").alias("semantic"),
         *(column.alias(name) for name, column in profile.items()),
         *(column.alias(name) for name, column in pair_columns(stop_words).items()),
     )
-    scored = parsed.withColumn("semantic", F.lit(None).cast("double"))
 
     def if_readable(column: Column) -> Column:
         return F.when(~F.col("blank"), column)
 
     return score_columns(
-        scored,
+        parsed,
         "candidate_id",
         "name",
         "email",
@@ -70,3 +78,19 @@ def screen_resumes(
         "job_title",
         wrap=if_readable,
     )
+
+
+def screen_resumes(
+    resumes: DataFrame,
+    jobs: DataFrame,
+    vocabulary: DataFrame,
+    stop_words: Iterable[str] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Candidate, job title and score of every résumé, as one row.
+
+    The same rows as ``candidate_profiles`` over freshly parsed and scored tables, but each text is
+    read once and, with jobs that fit, nothing is shuffled. The score is NULL for a résumé that could
+    not be read.
+    """
+    return screen_prepared(resumes, prepare_jobs(jobs, vocabulary, stop_words), stop_words, limit)

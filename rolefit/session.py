@@ -30,6 +30,7 @@ def local_session(cpus: int = 8, name: str = "rolefit", memory: str = "8g") -> S
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

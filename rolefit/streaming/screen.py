@@ -1,22 +1,22 @@
 """Incremental screening of newly arrived résumés."""
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rolefit.operators.lookups import candidate_profiles
 from rolefit.operators.notify import notification_outbox
-from rolefit.operators.profiles import parse_profiles
-from rolefit.operators.scoring import score_candidates
+from rolefit.plans.screening import prepare_jobs, screen_prepared
 from rolefit.schemas import CANDIDATES, RESUMES, SCORES
+from rolefit.session import ensure_checkpoint_dir
 
-OUTPUTS = ("candidates", "scores", "outbox")
+PROFILES, OUTBOX = "profiles", "outbox"
 
 
-def _batch_path(target: str, name: str, batch_id: int) -> str:
-    return f"{target.rstrip('/')}/{name}/batch_id={batch_id}"
+def _path(target: str, name: str) -> str:
+    return f"{target.rstrip('/')}/{name}"
 
 
 def screen_stream(
@@ -32,26 +32,23 @@ def screen_stream(
 ) -> StreamingQuery:
     """Start screening the Parquet files that arrive in ``source`` against a static job table.
 
-    Each micro-batch appends candidates, scores and mails below ``target``. A batch writes only its own
+    Each micro-batch appends screened profiles and mails below ``target``. A batch writes only its own
     ``batch_id`` folder and replaces it when replayed, so a restart neither loses nor doubles rows.
-    Mails are built from the tables the batch has just written.
+    Jobs are prepared once, when the stream starts. Texts are read once per batch; the mails are built
+    from the profiles the batch has just written.
     """
+    ensure_checkpoint_dir(spark)
+    prepared = prepare_jobs(jobs, vocabulary, stop_words)
+    prepared = replace(prepared, features=prepared.features.checkpoint())
 
     def screen(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        candidates_path, scores_path, outbox_path = (
-            _batch_path(target, name, batch_id) for name in OUTPUTS
+        profiles, outbox = (
+            f"{_path(target, name)}/batch_id={batch_id}" for name in (PROFILES, OUTBOX)
         )
-        parse_profiles(batch).write.mode("overwrite").parquet(candidates_path)
-        score_candidates(
-            batch, jobs, vocabulary, stop_words=stop_words, scored_at=F.col("created_at")
-        ).write.mode("overwrite").parquet(scores_path)
-        profiles = candidate_profiles(
-            session.read.schema(CANDIDATES).parquet(candidates_path),
-            jobs,
-            session.read.schema(SCORES).parquet(scores_path),
-        )
-        notification_outbox(profiles).write.mode("overwrite").parquet(outbox_path)
+        screened = screen_prepared(batch, prepared, stop_words)
+        screened.write.mode("overwrite").parquet(profiles)
+        written = batch.sparkSession.read.schema(screened.schema).parquet(profiles)
+        notification_outbox(written).write.mode("overwrite").parquet(outbox)
 
     reader = spark.readStream.schema(RESUMES)
     if files_per_batch:
@@ -67,5 +64,10 @@ def screen_stream(
 
 
 def read_screened(spark: SparkSession, target: str, name: str) -> DataFrame:
-    """What the stream has written so far."""
-    return spark.read.parquet(f"{target.rstrip('/')}/{name}").drop("batch_id")
+    """What the stream has written so far: profiles, outbox, candidates or scores."""
+    if name in (PROFILES, OUTBOX):
+        return spark.read.parquet(_path(target, name)).drop("batch_id")
+    profiles = read_screened(spark, target, PROFILES)
+    if name == "candidates":
+        return profiles.select(*CANDIDATES.fieldNames())
+    return profiles.filter(F.col("score_id").isNotNull()).select(*SCORES.fieldNames())
