@@ -62,7 +62,7 @@ def vocabulary_index(vocabulary: DataFrame) -> DataFrame:
 
 def _tokens(texts: DataFrame, key: str, *carried) -> DataFrame:
     # The empty token stands for the text itself: skills without letters or digits are keyed by it,
-    # and it keeps a text in the result that has no skill at all.
+    # and so is the row that keeps a text in the result which has no skill at all.
     tokens = F.array_union(
         word_tokens(F.lower("text")), F.array(F.lit("")).cast("array<string>")
     )
@@ -86,17 +86,22 @@ def skill_hits(
     """
     texts = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     index = vocabulary_index(vocabulary)
-    keep = F.col("skill").isNotNull() | (F.col("token") == "")
+    every_text = texts.sparkSession.range(1).select(
+        F.lit("").alias("token"),
+        F.lit(None).cast("string").alias("skill"),
+        F.lit(None).cast("string").alias("pattern"),
+    )
+    index = index.unionByName(every_text)
     size = size or vocabulary_size(vocabulary)
     if fits_broadcast(index, limit, size.index_bound):
-        found = _tokens(texts, key, "text").join(F.broadcast(index), "token", "left").filter(keep)
+        found = _tokens(texts, key, "text").join(F.broadcast(index), "token")
         confirmed = F.col("pattern").isNull() | F.rlike(F.lower("text"), F.col("pattern"))
-        return found.select(key, F.when(confirmed, F.col("skill")).alias("skill"))
-    found = salted_join(_tokens(texts, key), index, ["token"], "left", spread=key).filter(keep)
-    settled = found.select(key, F.when(F.col("pattern").isNull(), F.col("skill")).alias("skill"))
-    open_hits = found.filter(F.col("pattern").isNotNull()).select(key, "skill", "pattern")
+        return found.filter(confirmed).select(key, "skill")
+    found = salted_join(_tokens(texts, key), index, ["token"], spread=key)
+    settled = found.filter(F.col("pattern").isNull()).select(key, "skill")
     confirmed = (
-        open_hits.join(texts, key)
+        found.filter(F.col("pattern").isNotNull())
+        .join(texts, key)
         .filter(F.rlike(F.lower("text"), F.col("pattern")))
         .select(key, "skill")
     )

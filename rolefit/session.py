@@ -21,6 +21,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """Set as many shuffle partitions as keep one near ``target_bytes``, never fewer than cores.
+
+    For inputs of many terabytes the default number would give partitions that only fit on disk;
+    adaptive execution merges partitions that turn out small, but does not split them.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(cores, -(-input_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def local_session(cpus: int = 8, name: str = "rolefit", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
