@@ -31,7 +31,9 @@ def rank_candidates(scored: DataFrame, hot_rows: int | None = None) -> DataFrame
     ordinary = scored.join(hot, "job_id", "left_anti").withColumn(
         "rank", F.row_number().over(window)
     )
-    crowded = scored.join(hot, "job_id", "left_semi")
+    # Stored first: it is read by the sampling of the ranges, by their sort and by the result.
+    ensure_checkpoint_dir(scored.sparkSession)
+    crowded = scored.join(hot, "job_id", "left_semi").checkpoint()
     ranks = _rank_across_tasks(crowded.select("candidate_id", "job_id", "matching_score"))
     ranked = crowded.join(ranks, ["candidate_id", "job_id"])
     return ordinary.unionByName(ranked.select(*ordinary.columns))
@@ -45,7 +47,6 @@ def _rank_across_tasks(narrow: DataFrame) -> DataFrame:
     ones. A job's rank is then its position plus the rows of the job in earlier partitions; there is
     one such number per partition and job that meet, a few more than there are partitions.
     """
-    ensure_checkpoint_dir(narrow.sparkSession)
     keys = [F.col("job_id"), *_order()]
     placed = (
         narrow.repartitionByRange(*keys)

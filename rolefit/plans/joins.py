@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolefit.session import ensure_checkpoint_dir
+
 # Largest side, in bytes of its text form, that is sent whole to every executor.
 BROADCAST_BYTES = 128 * 1024 * 1024
 # Rows of one key that a single task may be given when both sides have to be shuffled.
@@ -67,14 +69,16 @@ def salted_join(
     Keys are counted first (combined before the shuffle). A key with more than ``hot_rows`` rows gets
     ``ceil(rows / hot_rows)`` copies of its rows in ``small`` and each of its rows in ``large`` goes
     to one of them, chosen by hash so that a retried task chooses alike. There are at most
-    ``rows / hot_rows`` hot keys, and they too are broadcast only if they fit.
+    ``rows / hot_rows`` hot keys; they are counted once, and they too are broadcast only if they fit.
     """
     per_copy = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    ensure_checkpoint_dir(large.sparkSession)
     hot = (
         large.groupBy(*on)
         .count()
         .filter(F.col("count") > per_copy)
         .select(*on, F.ceil(F.col("count") / per_copy).cast("int").alias("_copies"))
+        .checkpoint()
     )
     if not fits_broadcast(hot):
         return large.join(small, on, how)
