@@ -118,4 +118,44 @@ SELECT l.doc_id, l.size, s.source_size, s.target, CAST(coalesce(t.taken, 0) AS B
 FROM laid l JOIN shares s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN taken t USING (doc_id)
 """
 
-ORACLES = {"op9_quality_rules": QUALITY, "op10_mix_sources": MIXING}
+# A run starts at a line, ends at the first line with which it has 20 words, and is deleted unless it
+# is the first with its lines.
+LINES = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS nr FROM split
+), worded AS (
+  SELECT doc_id, nr, regexp_replace(raw, '^{SPACE}+|{SPACE}+$', '', 'g') AS line,
+    len(regexp_extract_all(raw, '{WORD}')) AS words,
+    row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS pos
+  FROM lines WHERE regexp_matches(raw, '{WORD}')
+), ends AS (
+  SELECT a.doc_id, a.pos, min(b.pos) AS last
+  FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM worded) a
+  JOIN (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM worded) b
+    ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 20
+  GROUP BY ALL
+), runs AS (
+  SELECT e.doc_id, e.pos, e.last, string_agg(w.line, chr(10) ORDER BY w.pos) AS run
+  FROM ends e JOIN worded w ON w.doc_id = e.doc_id AND w.pos BETWEEN e.pos AND e.last GROUP BY ALL
+), later AS (
+  SELECT doc_id, pos, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n FROM runs
+  ) WHERE n > 1
+), deleted AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later
+), counted AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE b IS NULL OR b < pos - 1) AS runs FROM (
+    SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM deleted) GROUP BY doc_id
+), kept AS (
+  SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.nr) AS text
+  FROM lines l LEFT JOIN worded w USING (doc_id, nr) LEFT JOIN deleted d ON d.doc_id = w.doc_id AND d.pos = w.pos
+  WHERE d.pos IS NULL GROUP BY l.doc_id
+), sizes AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id)
+SELECT s.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_deleted,
+  CAST(coalesce(c.runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(k.text, '')) AS clean_sha256
+FROM split s LEFT JOIN sizes z USING (doc_id) LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES = {"op8_line_dedup": LINES, "op9_quality_rules": QUALITY, "op10_mix_sources": MIXING}

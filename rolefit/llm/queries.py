@@ -7,6 +7,35 @@ from pyspark.sql import functions as F
 
 from rolefit.llm import oracles
 from rolefit.llm.common import documents
+from rolefit.session import scratch_path
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rolefit.llm.tokenfiles import token_digests, write_tokens
+
+    path = scratch_path(spark, "tokens")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(spark, path)
+
+
+def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rolefit.llm.piecebpe import digests, encode_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return digests(encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), model))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.linededup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("clean_text", 256).alias("clean_sha256")
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
