@@ -158,4 +158,29 @@ SELECT s.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n,
 FROM split s LEFT JOIN sizes z USING (doc_id) LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES = {"op8_line_dedup": LINES, "op9_quality_rules": QUALITY, "op10_mix_sources": MIXING}
+JACCARD = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, w FROM words WHERE len(w) BETWEEN 1 AND 4
+  )
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = d.doc_id
+"""
+
+ORACLES = {"op4_jaccard_join": JACCARD, "op8_line_dedup": LINES, "op9_quality_rules": QUALITY, "op10_mix_sources": MIXING}

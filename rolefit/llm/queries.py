@@ -21,6 +21,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.jaccardjoin import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
