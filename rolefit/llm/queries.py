@@ -27,6 +27,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op6_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.spotsigs import spot_fingerprints
+
+    found = spot_fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -13,6 +13,8 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+# White space and all other ASCII but letters and digits.
+_marks = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -32,16 +34,17 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
     return known[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some texts in order, and the number of each word's text.
 
     A word's hash is a polynomial in its lower-cased bytes, taken from running sums over all bytes.
+    With ``marks``, words end at punctuation too.
     """
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends_of = np.cumsum([len(t) + 1 for t in texts])
-    blank = _space[raw]
+    blank = (_marks if marks else _space)[raw]
     edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
