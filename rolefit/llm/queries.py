@@ -27,6 +27,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op5_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.maxent import score_texts
+
+    return score_texts(documents(spark, sf_dir))
+
+
 def op6_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolefit.llm.spotsigs import spot_fingerprints
 
