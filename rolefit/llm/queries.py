@@ -10,6 +10,17 @@ from rolefit.llm.common import documents
 from rolefit.session import scratch_path
 
 
+# Keys the surrogates; a deployment sets its own secret.
+SURROGATE_KEY = "rolefit"
+
+
+def op1_replace_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.surrogates import replace_personal_data
+
+    replaced = replace_personal_data(documents(spark, sf_dir), SURROGATE_KEY)
+    return replaced.select("doc_id", F.size("entities").alias("n_entities"), "entities", "text")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
