@@ -32,6 +32,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rolefit.llm.jaccardjoin import jaccard_components
 
