@@ -127,7 +127,7 @@ def write_tokens(
     are delta encoded, token ids dictionary encoded; ``row_group_bytes`` and ``page_bytes`` bound row
     groups and pages, and the files carry page indexes, so a reader of a few documents, or of the
     counts only, reads those pages and columns only. ``path-index`` gets the first token of every
-    part. An existing path is an error. Rows with equal ids are separate documents, side by side.
+    part, ``path-schema`` the columns, so that an empty table can be read too. An existing path is an error. Rows with equal ids are separate documents, side by side.
     """
     ranged = docs.repartitionByRange(id_column).sortWithinPartitions(id_column)
     encoded = encode_tokens(ranged, tokenizer, text).withColumn("part", F.spark_partition_id())
@@ -140,6 +140,7 @@ def write_tokens(
         "parquet.enable.dictionary#ids.list.element": "true",
         "compression": "zstd",
     }
+    encoded.limit(0).write.parquet(f"{path}-schema")
     encoded.write.options(**settings).partitionBy("part").parquet(path)
     order = W.partitionBy().orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = read_tokens(docs.sparkSession, path).groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
@@ -149,7 +150,7 @@ def write_tokens(
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of ``path`` with their ``part``; select columns and filter by id to read less."""
-    return spark.read.parquet(path)
+    return spark.read.schema(spark.read.parquet(f"{path}-schema").schema).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
