@@ -255,7 +255,9 @@ def test_quality_rules(spark, docs, rows, none):
         assert (r.n_words, r.n_repeat_words) == (len(words), len(repeat))
         assert r.base_failed == (len(words) < 10 or 100 * len(repeat) > 20 * len(words))
     notice = "all rights reserved by the owners of this fine site 2024"
-    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rng = random.Random(4)
+    bodies = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(40)]
+    body = bodies.__getitem__
     shared = [(i, f"{notice}\n{body(i)}" if i else notice, "h") for i in range(40)]
     judged = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(shared, "doc_id long, text string, source string"), with_text=True).collect()}
     assert not judged[0].kept and judged[1].kept and judged[1].clean_text == body(1)
