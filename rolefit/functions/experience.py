@@ -22,12 +22,15 @@ JUNIOR_YEARS = 3
 def _years_from(text: Column, pattern: str) -> Column:
     foreign, ascii_digits = decimal_digits()
     digits = F.translate(F.regexp_extract(text, pattern, 1), foreign, ascii_digits)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    return F.nullif(digits, F.lit(""))
 
 
 def extract_experience_years(text: Column) -> Column:
-    """Stated years: the first phrase that occurs decides, a fresher has none, default 0."""
-    stated = F.coalesce(*(_years_from(text, p) for p in EXPERIENCE_PATTERNS))
+    """Stated years: the first phrase that occurs decides, a fresher has none, default 0.
+
+    If its number is too large to be one, the phrase still decides, and the years are 0.
+    """
+    stated = F.coalesce(*(_years_from(text, p) for p in EXPERIENCE_PATTERNS)).try_cast("bigint")
     return (
         F.when(~text.rlike(r"(?iU)experience"), F.lit(0))
         .when(text.rlike(NO_EXPERIENCE_WORD), F.lit(0))
@@ -37,9 +40,9 @@ def extract_experience_years(text: Column) -> Column:
 
 
 def experience_level(years: Column) -> Column:
-    """Fresher, Junior or Senior."""
+    """Fresher, Junior or Senior; unknown years are a fresher's."""
     return (
-        F.when(years <= FRESHER_YEARS, F.lit("Fresher"))
+        F.when(years.isNull() | (years <= FRESHER_YEARS), F.lit("Fresher"))
         .when(years <= JUNIOR_YEARS, F.lit("Junior"))
         .otherwise(F.lit("Senior"))
     )

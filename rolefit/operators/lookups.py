@@ -15,11 +15,14 @@ SCORE_FIELDS = (
 
 
 def first_score(scores: DataFrame) -> DataFrame:
-    """The score row with the lowest id of each candidate, combined before the shuffle."""
+    """The score row of each candidate that was written first, combined before the shuffle.
+
+    Earlier times come first, then lower ids; the other columns settle what is still equal.
+    """
     row = F.struct(*(F.col(c) for c in SCORE_FIELDS))
     return (
         scores.groupBy("candidate_id")
-        .agg(F.min_by(row, F.col("score_id")).alias("first"))
+        .agg(F.min_by(row, F.struct("created_at", "score_id", row)).alias("first"))
         .select("candidate_id", "first.*")
     )
 

@@ -5,69 +5,44 @@ from pyspark.sql import functions as F
 
 from rolefit.session import ensure_checkpoint_dir
 
-# Candidates of one job that a single task may sort. Jobs above it are ranked across tasks.
-HOT_JOB_ROWS = 1_000_000
-PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
-
 
 def _order():
     return [F.col("matching_score").desc_nulls_last(), F.col("candidate_id").asc()]
 
 
-def rank_candidates(scored: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def rank_candidates(scored: DataFrame) -> DataFrame:
     """``scored`` with ``rank`` 1..n per job: score descending, no score last, then candidate id.
 
-    An ordinary job is ranked by one window. If a job has more rows than one task should sort, its
-    candidates are ranked by their position in a range-partitioned order (see ``_rank_across_tasks``).
+    No job has a task of its own: whole rows are range-partitioned by job and rank order, so a large
+    job is spread over as many ranges as it fills. A row's rank is its position among the rows of its
+    job in its range, plus the job's rows in earlier ranges; of these counts there are a few more than
+    ranges and jobs. The checkpoint fixes the ranges, so that counts and positions read the same ones.
+    Rows without a job form one group; equal rows get ranks one after the other.
     """
-    limit = HOT_JOB_ROWS if hot_rows is None else hot_rows
-    hot = (
-        scored.groupBy("job_id").count().filter(F.col("count") > limit).select("job_id")
-    )
-    window = Window.partitionBy("job_id").orderBy(*_order())
-    if hot.isEmpty():
-        return scored.withColumn("rank", F.row_number().over(window))
-    hot = F.broadcast(hot)  # at most rows / limit of them
-    ordinary = scored.join(hot, "job_id", "left_anti").withColumn(
-        "rank", F.row_number().over(window)
-    )
-    # Stored first: it is read by the sampling of the ranges, by their sort and by the result.
     ensure_checkpoint_dir(scored.sparkSession)
-    crowded = scored.join(hot, "job_id", "left_semi").checkpoint()
-    ranks = _rank_across_tasks(crowded.select("candidate_id", "job_id", "matching_score"))
-    ranked = crowded.join(ranks, ["candidate_id", "job_id"])
-    return ordinary.unionByName(ranked.select(*ordinary.columns))
-
-
-def _rank_across_tasks(narrow: DataFrame) -> DataFrame:
-    """Ranks of ``(candidate_id, job_id, matching_score)`` rows without a task per job.
-
-    Rows are range-partitioned and sorted by job and rank order, and each gets its position within its
-    partition. The checkpoint fixes these positions, so that the counts and the rows read the same
-    ones. A job's rank is then its position plus the rows of the job in earlier partitions; there is
-    one such number per partition and job that meet, a few more than there are partitions.
-    """
-    keys = [F.col("job_id"), *_order()]
     placed = (
-        narrow.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .select("candidate_id", "job_id", F.monotonically_increasing_id().alias("position"))
-        .withColumn("slice", F.shiftright("position", PARTITION_SHIFT))
+        scored.repartitionByRange(F.col("job_id").asc_nulls_first(), *_order())
+        .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )
-    earlier = Window.partitionBy("job_id").orderBy("slice").rowsBetween(
+    earlier = Window.partitionBy("job_id").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = (
-        placed.groupBy("job_id", "slice")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .select("job_id", "slice", "start", "before")
+    before = (
+        placed.groupBy("job_id", "_range")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.col("job_id").alias("_job"),
+            F.col("_range").alias("_in"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"),
+        )
     )
-    return placed.join(F.broadcast(offsets), ["job_id", "slice"]).select(
-        "candidate_id",
-        "job_id",
-        (F.col("position") - F.col("start") + F.col("before") + 1).cast("int").alias("rank"),
+    inside = Window.partitionBy("job_id", "_range").orderBy(*_order())
+    return (
+        placed.withColumn("rank", F.row_number().over(inside))
+        .join(before, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_range") == F.col("_in")))
+        .withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
+        .drop("_range", "_job", "_in", "_before")
     )
 
 
@@ -82,9 +57,7 @@ def list_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
 
 
-def latest_job_candidates(
-    scored: DataFrame, jobs: DataFrame, hot_rows: int | None = None
-) -> DataFrame:
+def latest_job_candidates(scored: DataFrame, jobs: DataFrame) -> DataFrame:
     """Ranked candidates of the newest job."""
     newest = list_jobs(jobs.select("job_id", "created_at")).limit(1).select("job_id")
-    return rank_candidates(scored.join(F.broadcast(newest), "job_id", "left_semi"), hot_rows)
+    return rank_candidates(scored.join(F.broadcast(newest), "job_id", "left_semi"))

@@ -54,7 +54,8 @@ def local_session(cpus: int = 8, name: str = "rolefit", memory: str = "8g") -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the session has none (a single machine, as in tests) is a new one made.
+    Only on a single machine, as in tests, is a new one made where the session has none; on a cluster
+    that is an error, as executors cannot read what others write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -62,6 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rolefit-"))
     return spark.sparkContext.getCheckpointDir()
 

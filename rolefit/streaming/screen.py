@@ -12,7 +12,7 @@ from rolefit.plans.screening import prepare_jobs, screen_prepared
 from rolefit.schemas import CANDIDATES, RESUMES, SCORES
 from rolefit.session import ensure_checkpoint_dir
 
-PROFILES, OUTBOX = "profiles", "outbox"
+PROFILES, OUTBOX, WAITING = "profiles", "outbox", "waiting"
 
 
 def _path(target: str, name: str) -> str:
@@ -35,7 +35,8 @@ def screen_stream(
     Each micro-batch appends screened profiles and mails below ``target``. A batch writes only its own
     ``batch_id`` folder and replaces it when replayed, so a restart neither loses nor doubles rows.
     Jobs are prepared once, when the stream starts. Texts are read once per batch; the mails are built
-    from the profiles the batch has just written.
+    from the profiles the batch has just written. Résumés for jobs that the stream does not know are
+    written to a table of their own, for ``screen_waiting``.
     """
     ensure_checkpoint_dir(spark)
     prepared = prepare_jobs(jobs, vocabulary, stop_words)
@@ -45,6 +46,9 @@ def screen_stream(
         profiles, outbox = (
             f"{_path(target, name)}/batch_id={batch_id}" for name in (PROFILES, OUTBOX)
         )
+        known = prepared.features.select("job_id")
+        unknown = batch.join(known, "job_id", "left_anti")
+        unknown.write.mode("overwrite").parquet(f"{_path(target, WAITING)}/batch_id={batch_id}")
         screened = screen_prepared(batch, prepared, stop_words)
         screened.write.mode("overwrite").parquet(profiles)
         written = batch.sparkSession.read.schema(screened.schema).parquet(profiles)
@@ -63,6 +67,30 @@ def screen_stream(
     return writer.start()
 
 
+def screen_waiting(
+    spark: SparkSession,
+    jobs: DataFrame,
+    vocabulary: DataFrame,
+    target: str,
+    run: str,
+    stop_words: Iterable[str] | None = None,
+) -> None:
+    """Screen the waiting résumés whose jobs have come; ``run`` names the folder that is written.
+
+    Those screened by an earlier run are left out, so runs under new names neither lose nor double
+    rows; a run that failed is repeated under its own name.
+    """
+    waiting = spark.read.schema(RESUMES).parquet(_path(target, WAITING))
+    done = spark.read.parquet(_path(target, PROFILES)).filter(F.col("batch_id").cast("string") != f"run-{run}")
+    left = waiting.join(done.select("candidate_id", "job_id"), ["candidate_id", "job_id"], "left_anti")
+    prepared = prepare_jobs(jobs, vocabulary, stop_words)
+    profiles, outbox = (f"{_path(target, name)}/batch_id=run-{run}" for name in (PROFILES, OUTBOX))
+    screened = screen_prepared(left, prepared, stop_words)
+    screened.write.mode("overwrite").parquet(profiles)
+    written = spark.read.schema(screened.schema).parquet(profiles)
+    notification_outbox(written).write.mode("overwrite").parquet(outbox)
+
+
 def read_screened(spark: SparkSession, target: str, name: str) -> DataFrame:
     """What the stream has written so far: profiles, outbox, candidates or scores."""
     if name in (PROFILES, OUTBOX):

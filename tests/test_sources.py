@@ -3,6 +3,7 @@ import glob
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolefit.operators import lookups, ranking
@@ -151,3 +152,41 @@ def test_stream_equals_batch_and_survives_a_replay(stored, spark, tmp_path):  #
         os.rename(crc, f"{tmp_path}/lost-crc")
     run()
     same()
+
+
+def test_a_resume_waits_for_its_job(spark, tmp_path):
+    from rolefit.streaming.screen import screen_waiting
+
+    fields = "job_id long, title string, description string"
+    jobs = spark.createDataFrame([(1, "Dev", "python sql")], fields)
+    vocabulary = spark.createDataFrame([("python",), ("sql",), ("linux",)], "skill string")
+    rows = [(c, 1 + c % 2, f"f{c}.pdf", f"python linux u{c}@x.org", None) for c in range(4)]
+    arrivals, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    spark.createDataFrame(rows, RESUMES).write.parquet(arrivals)
+    screen_stream(spark, arrivals, jobs, vocabulary, target, progress).awaitTermination()
+    assert read_screened(spark, target, "scores").count() == 2
+    more = jobs.union(spark.createDataFrame([(2, "Ops", "linux")], fields))
+    for run in ("a", "b", "b"):
+        screen_waiting(spark, more, vocabulary, target, run)
+        scores = read_screened(spark, target, "scores").collect()
+        assert sorted(r.candidate_id for r in scores) == [0, 1, 2, 3]
+    assert read_screened(spark, target, "outbox").count() == 4
+
+
+def test_no_machine_local_scratch_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from rolefit.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_the_first_phrase_decides_even_if_its_number_is_too_large(values):
+    from rolefit.functions import experience
+
+    text = "99999999999999999999 years experience, 2 yrs experience"
+    assert values(experience.extract_experience_years(F.col("v")), [text]) == [0]
+    assert values(experience.experience_level(F.col("v")), [None, 1, 2], "long") == ["Fresher", "Fresher", "Junior"]

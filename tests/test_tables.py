@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
@@ -100,9 +101,9 @@ def test_ranking_across_tasks_equals_the_window(spark):
         for c in rng.sample(range(100_000), 3000)
     ]
     frame = spark.createDataFrame(rows, "candidate_id long, job_id long, matching_score double").repartition(7)
-    plain = ranks(ranking.rank_candidates(frame))
-    assert ranks(ranking.rank_candidates(frame, hot_rows=100)) == plain
-    assert ranks(ranking.rank_candidates(frame, hot_rows=1000)) == plain
+    order = Window.partitionBy("job_id").orderBy(F.col("matching_score").desc_nulls_last(), "candidate_id")
+    plain = ranks(frame.withColumn("rank", F.row_number().over(order)))
+    assert ranks(ranking.rank_candidates(frame)) == plain
     for job in range(9):
         of_job = [r for j, r, _ in plain if j == job]
         assert of_job == list(range(1, len(of_job) + 1))
@@ -110,6 +111,22 @@ def test_ranking_across_tasks_equals_the_window(spark):
     assert ranks(top) == [r for r in plain if r[1] <= 3]
 
 
+def test_ranking_keeps_doubles_and_nulls(spark):
+    rows = [(1, 1, 9.0), (1, 1, 9.0), (None, 1, 9.0), (2, 1, None), (3, None, 1.0), (4, None, 2.0)]
+    frame = spark.createDataFrame(rows, "candidate_id long, job_id long, matching_score double")
+    ranked = [(r.candidate_id, r.job_id, r["rank"]) for r in ranking.rank_candidates(frame).collect()]
+    assert sorted(ranked, key=repr) == sorted(
+        [(None, 1, 1), (1, 1, 2), (1, 1, 3), (2, 1, 4), (4, None, 1), (3, None, 2)], key=repr
+    )
+
+
+def test_the_score_written_first_counts(spark):
+    fields = "candidate_id long, score_id long, matching_score double, matched_skills string, missing_skills string, explanation string, t string"
+    rows = [(1, 1, 50.0, "", "", "", "2024-02-01"), (1, 1, 70.0, "", "", "", "2024-01-01")]
+    scores = spark.createDataFrame(rows, fields).withColumn("created_at", F.col("t").cast("timestamp"))
+    assert lookups.first_score(scores).first().matching_score == 70.0
+
+
 def test_jobs_newest_first(spark):
     jobs = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01"), (3, "2024-02-01")], "job_id long, t string")
     jobs = jobs.select("job_id", F.col("t").cast("timestamp").alias("created_at"))

@@ -47,11 +47,11 @@ def _years(text: str) -> str:
         "(\\d+)\\+?\\s*yrs?\\s*(?:of\\s*)?experience",
     )
     found = ", ".join(
-        f"TRY_CAST(nullif(regexp_extract({text}, '{p}', 1, 'i'), '') AS BIGINT)" for p in patterns
+        f"nullif(regexp_extract({text}, '{p}', 1, 'i'), '')" for p in patterns
     )
     return (
         f"CASE WHEN regexp_matches({text}, 'fresher', 'i') THEN CAST(0 AS BIGINT) "
-        f"ELSE coalesce({found}, CAST(0 AS BIGINT)) END"
+        f"ELSE coalesce(TRY_CAST(coalesce({found}) AS BIGINT), CAST(0 AS BIGINT)) END"
     )
 
 
