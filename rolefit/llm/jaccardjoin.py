@@ -260,14 +260,17 @@ def _tiled(rows: DataFrame, find: Callable, extra: list[str]) -> DataFrame:
 
 def _forest(tile: Tile, sid: np.ndarray, idx: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs that may be linked, only as many as connect what may be connected."""
-    label = np.arange(len(sid))
+    label, apart = np.arange(len(sid)), len(sid) - 1
     for i in range(len(sid)):
+        if not apart:
+            return
         stop = np.searchsorted(tile.n, MOST * tile.n[i] // LEAST, side="right")
         others = np.arange(i + 1, stop)
         others = others[(label[others] != label[i]) & (sid[others] != sid[i])]
         for j in tile.linkable(i, others) if len(others) else ():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
+                apart -= 1
                 yield i, int(j)
 
 
