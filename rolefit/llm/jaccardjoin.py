@@ -72,8 +72,11 @@ def prefix_lengths(n: int) -> tuple[int, int]:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, by hash, in the least power of two of bits that the set's size fits."""
-    width = max(128, 1 << int(len(shingles) - 1).bit_length())
+    """One bit per shingle, by hash; four times the least power of two of bits that the set's size fits.
+
+    The wider the bitmap, the fewer differences hide behind a shared bit, and the closer the bound.
+    """
+    width = max(512, 4 << int(len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mixed(shingles) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
