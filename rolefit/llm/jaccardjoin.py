@@ -18,6 +18,8 @@ FREQUENT = 1 << 16
 # Keys with more sets than this go through tiles of at most about TILE sets.
 PAIRED = 12
 TILE = 2048
+# A tile that is intersected exactly takes at most about so many shingles from either side.
+TILE_SHINGLES = 1 << 21
 BATCH = 500
 
 
@@ -82,6 +84,11 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def set_number(shingles: np.ndarray) -> int:
+    """A hash of a whole set."""
+    return int(_signed(mixed(shingles + np.uint64(7)).sum(dtype=np.uint64)[None])[0])
+
+
 def signatures(docs: DataFrame, id_column: str, text: str, frequent: np.ndarray) -> DataFrame:
     """``id, n, set_id, bits, keys, n_index`` of every document."""
 
@@ -95,7 +102,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, frequent: np.ndarray)
                     for r, empty in zip(rows[1:], (None, None, [], 0), strict=True):
                         r.append(empty)
                     continue
-                rows[1].append(int(_signed(mixed(s + np.uint64(7)).sum(dtype=np.uint64)[None])[0]))
+                rows[1].append(set_number(s))
                 rows[2].append(bitmap(s))
                 probe, index = prefix_lengths(n)
                 at = np.searchsorted(frequent, s)
@@ -231,54 +238,69 @@ class Tile:
         return np.concatenate(found) if found else others[:0]
 
 
-def _tiled(rows: DataFrame, find: Callable, extra: list[str]) -> DataFrame:
-    """Candidate pairs of every tile (``key``, ``block``) of ``rows``."""
+def _tiled(rows: DataFrame, find: Callable, columns: list[str], made: str) -> DataFrame:
+    """What ``find`` makes of every tile (``key``, ``block``) of ``rows``, given ``columns`` in order of size.
+
+    ``find`` returns the columns of ``made``; none may be made of a tile with one set.
+    """
+    names = [part.split()[0] for part in made.split(", ")]
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["key", "block"]):
-            key, block, sid, n, idx = (
-                table.column(c).to_numpy() for c in ("key", "block", "set_id", "n", "idx")
-            )
-            more = [table.column(c).to_numpy() for c in extra]
-            bits = table.column("bits")
+            key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
             starts = _starts(key, block)
-            out: set[tuple[int, int]] = set()
             for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
                 if b - a < 2:
                     continue
-                tile = Tile(n[a:b], bits.slice(a, b - a).to_pylist())
-                out.update((a + i, a + j) for i, j in find(tile, sid[a:b], idx[a:b], *(m[a:b] for m in more)))
-            if out:
-                pairs = np.array(sorted(out), np.int64)
-                i, j = pairs[:, 0], pairs[:, 1]
-                swap = (n[i] > n[j]) | ((n[i] == n[j]) & (sid[i] > sid[j]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (sid[i], n[i], sid[j], n[j])], names=["a", "a_n", "b", "b_n"]
-                )
+                tile = table.slice(a, b - a)
+                found = find(*(_column(tile, c) for c in columns))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     placed = rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "set_id")
-    return placed.mapInArrow(tested, PAIR).distinct()
+    return placed.select(*dict.fromkeys(["key", "block", *columns])).mapInArrow(tested, made)
+
+
+def _column(tile: pa.Table, name: str) -> np.ndarray | list[bytes]:
+    column = tile.column(name)
+    return column.to_pylist() if pa.types.is_binary(column.type) else column.to_numpy()
+
 
+def _pairs(found: Iterator[tuple[int, int]], sid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns of PAIR of pairs of places, the smaller set first."""
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    i, j = pairs[:, 0], pairs[:, 1]
+    swap = (n[i] > n[j]) | ((n[i] == n[j]) & (sid[i] > sid[j]))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return sid[i], n[i], sid[j], n[j]
 
-def _forest(tile: Tile, sid: np.ndarray, idx: np.ndarray) -> Iterator[tuple[int, int]]:
+
+def _forest(sid: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...]:
     """Pairs that may be linked, only as many as connect what may be connected."""
-    label, apart = np.arange(len(sid)), len(sid) - 1
-    for i in range(len(sid)):
-        if not apart:
-            return
-        stop = np.searchsorted(tile.n, MOST * tile.n[i] // LEAST, side="right")
-        others = np.arange(i + 1, stop)
-        others = others[(label[others] != label[i]) & (sid[others] != sid[i])]
-        for j in tile.linkable(i, others) if len(others) else ():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                apart -= 1
-                yield i, int(j)
-
-
-def _outliers(tile: Tile, sid, idx, label, sent) -> Iterator[tuple[int, int]]:
-    """All pairs that may be linked of a sent set and one of the tile with another label."""
+
+    def joined() -> Iterator[tuple[int, int]]:
+        tile = Tile(n, bits)
+        label, apart = np.arange(len(sid)), len(sid) - 1
+        for i in range(len(sid)):
+            if not apart:
+                return
+            stop = np.searchsorted(n, MOST * n[i] // LEAST, side="right")
+            others = np.arange(i + 1, stop)
+            others = others[(label[others] != label[i]) & (sid[others] != sid[i])]
+            for j in tile.linkable(i, others) if len(others) else ():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    apart -= 1
+                    yield i, int(j)
+
+    return _pairs(joined(), sid, n)
+
+
+def _apart(tile: Tile, label: np.ndarray, sent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every sent set with those of the tile that it may be linked with and whose label is another.
+
+    ``label`` may be changed between two of them.
+    """
     there = np.flatnonzero(~sent)
     for i in np.flatnonzero(sent):
         low = -(-LEAST * tile.n[i] // MOST)
@@ -286,19 +308,76 @@ def _outliers(tile: Tile, sid, idx, label, sent) -> Iterator[tuple[int, int]]:
         b = np.searchsorted(tile.n[there], MOST * tile.n[i] // LEAST, side="right")
         others = there[a:b]
         others = others[label[others] != label[i]]
-        for j in tile.linkable(i, others) if len(others) else ():
-            yield int(i), int(j)
+        if len(others):
+            yield int(i), tile.linkable(i, others)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``a, b``: ids of the representatives of pairs whose sets are similar enough, by intersection."""
-    named = pairs
+def _touched(key, block, sid, n, label, sent, bits) -> tuple[np.ndarray, ...]:
+    """The sets of a tile that may be linked with one of another label."""
+    near = np.zeros(len(sid), bool)
+    for i, others in _apart(Tile(n, bits), label, sent):
+        near[others] = True
+        near[i] |= len(others) > 0
+    return tuple(x[near] for x in (key, block, sid, n, label, sent))
+
+
+def _linked(sid, n, label, sent, shingles: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Links by exact intersection, only as many as connect the labels of a tile."""
+    sets = [np.frombuffer(s, np.uint64) for s in shingles]
+    label = np.unique(label, return_inverse=True)[1]
+
+    def joined() -> Iterator[tuple[int, int]]:
+        for i, others in _apart(Tile(n, [bitmap(s) for s in sets]), label, sent):
+            if not len(others):
+                continue
+            flat = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            starts = np.concatenate(([0], np.cumsum(n[others])[:-1]))
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+            for j in others[MOST * both >= LEAST * (n[i] + n[others] - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield i, int(j)
+
+    return _pairs(joined(), sid, n)
+
+
+def shingles_of(classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``set_id, n, shingles`` of some classes, from the texts of their representatives."""
+    texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
+    found = texts.join(classes.select("rep", "set_id", "n"), "rep").select("set_id", "n", "text")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches, BATCH):
+            ids, sizes = batch.column("set_id").to_numpy(), batch.column("n").to_numpy()
+            sets = [*shingle_sets(batch.column("text").to_pylist())]
+            # Another row with the id of the representative may have another text.
+            of = [
+                len(s) == m and set_number(s) == i for s, i, m in zip(sets, ids.tolist(), sizes.tolist(), strict=True)
+            ]
+            packed = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set_id"), batch.column("n"), packed], names=["set_id", "n", "shingles"]
+            ).filter(pa.array(of, pa.bool_()))
+
+    taken_sets = found.mapInArrow(taken, "set_id long, n long, shingles binary")
+    return taken_sets.groupBy("set_id", "n").agg(F.any_value("shingles").alias("shingles"))
+
+
+def _represented(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: the ids of the representatives of pairs of sets."""
     for side in ("a", "b"):
         rep = classes.select(
             F.col("set_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("rep").alias(f"{side}_rep")
         )
-        named = named.join(rep, [side, f"{side}_n"])
-    named = stored(named.select("a_rep", "b_rep").distinct(), "pairs")
+        pairs = pairs.join(rep, [side, f"{side}_n"])
+    return pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``a, b``: ids of the representatives of pairs whose sets are similar enough, by intersection."""
+    named = _represented(pairs, classes).select(F.col("a").alias("a_rep"), F.col("b").alias("b_rep"))
+    named = stored(named, "pairs")
     needed = named.select(F.col("a_rep").alias("rep")).union(named.select("b_rep")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = stored(texts.join(needed, "rep"), "texts")
@@ -339,9 +418,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     Equal sets form one class. Sets that share one of their first shingles, frequent ones last, are
     compared: pairs of small keys one by one, large keys in tiles. There bitmaps bound the overlap
-    from above. A first pass checks as many pairs as connect a tile; a second all that may still link
-    sets of different components. Shared shingles are counted exactly for each pair that remains, so
-    no link that joins components is lost; shingles are told apart by 64-bit hashes.
+    from above. A first pass names as many pairs as connect a tile and counts the shared shingles of each;
+    a second takes all sets that may still be linked with one of another component and intersects them
+    tile by tile, handing on only links that join components. So none of those is lost; shingles are
+    told apart by 64-bit hashes.
 
     A null or empty text, or one without words, has no shingles and is its own component. Rows with
     a null id have a null component and link nothing. Rows with equal ids count as one document
@@ -378,31 +458,45 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "hub.set_id", "hub.n", "hub.idx"
     )
     bits = classes.select("set_id", "n", "bits")
-    forest = _tiled(placed.union(hubs).distinct().join(bits, ["set_id", "n"]), _forest, [])
+    tiles = placed.union(hubs).select("key", "block", "set_id", "n").distinct().join(bits, ["set_id", "n"])
+    forest = _tiled(tiles, _forest, ["set_id", "n", "bits"], PAIR)
     small = rare.filter("b IS NOT NULL").select("a", "a_n", "b", "b_n").distinct()
-    first = stored(forest.union(_bounded(small, bits)), "candidates")
-    links = stored(verified(first.distinct(), classes, docs, id_column, text), "links")
+    first = forest.union(_bounded(small, bits)).distinct()
+    links = stored(verified(first, classes, docs, id_column, text), "links")
     labels = stored(_labels(links, classes), "labels")
 
     labelled = stored(large.join(labels, ["set_id", "n"]), "labelled")
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"))
     mixed_keys = counts.groupBy("key").agg(
-        F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("sets")
-    )
-    mixed_keys = stored(
-        mixed_keys.filter("labels > 1").withColumn("blocks", F.ceil(F.col("sets") / TILE)), "mixed"
+        F.max(F.struct("c", "label", "size")).alias("main"), F.count(F.lit(1)).alias("labels"),
+        F.sum("c").alias("c"), F.sum("size").alias("size"),
+    ).filter("labels > 1")
+    # A tile takes a part of the sets of a key and a part of those outside its main component.
+    parts = lambda c, size: F.ceil(F.greatest(F.col(c) / TILE, F.col(size) / TILE_SHINGLES))
+    mixed_keys = mixed_keys.select(
+        "key", F.col("main.label").alias("main"), parts("c", "size").alias("down"),
+        F.expr("c - main.c").alias("out_c"), F.expr("size - main.size").alias("out_size"),
+    ).withColumn("across", parts("out_c", "out_size"))
+    rows = labelled.join(stored(mixed_keys, "mixed"), "key")
+    count_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    part_of = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))
+    tile = ["key", "block", "set_id", "n", "label", "sent"]
+    own = rows.withColumn("at", F.explode(count_to("across"))).withColumn("block", part_of("down") * F.col("across") + F.col("at"))
+    sent = rows.filter("label <> main").withColumn("at", F.explode(count_to("down"))).withColumn(
+        "block", F.col("at") * F.col("across") + part_of("across")
     )
-    rows = labelled.join(mixed_keys, "key")
-    own = rows.select(
-        "key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "set_id", "n", "idx", "label", F.lit(False).alias("sent")
+    rows = own.withColumn("sent", F.lit(False)).select(tile).union(sent.withColumn("sent", F.lit(True)).select(tile))
+    touched = _tiled(
+        rows.join(bits, ["set_id", "n"]), _touched, [*tile, "bits"],
+        "key long, block long, set_id long, n long, label long, sent boolean",
     )
-    sent = rows.filter("label <> main").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        "set_id", "n", "idx", "label", F.lit(True).alias("sent"),
+    touched = stored(touched, "touched")
+    needed = classes.join(touched.select("set_id", "n").distinct(), ["set_id", "n"])
+    sets = shingles_of(needed, docs, id_column, text)
+    more = _tiled(
+        touched.join(sets, ["set_id", "n"]), _linked, ["set_id", "n", "label", "sent", "shingles"], PAIR
     )
-    rest = _tiled(own.union(sent).join(bits, ["set_id", "n"]), _outliers, ["label", "sent"])
-    rest = stored(rest.join(first, ["a", "a_n", "b", "b_n"], "left_anti"), "candidates")
-    more = stored(verified(rest, classes, docs, id_column, text), "links")
+    more = stored(_represented(more, classes), "links")
     final = _labels(links.union(more), classes)
     result = signed.select("id", "n", "set_id").join(final, ["set_id", "n"], "left")
     return result.select(
