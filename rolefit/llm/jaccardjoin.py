@@ -312,13 +312,13 @@ def _apart(tile: Tile, label: np.ndarray, sent: np.ndarray) -> Iterator[tuple[in
             yield int(i), tile.linkable(i, others)
 
 
-def _touched(key, block, sid, n, label, sent, bits) -> tuple[np.ndarray, ...]:
+def _touched(main, sid, n, label, sent, bits) -> tuple[np.ndarray, ...]:
     """The sets of a tile that may be linked with one of another label."""
     near = np.zeros(len(sid), bool)
     for i, others in _apart(Tile(n, bits), label, sent):
         near[others] = True
         near[i] |= len(others) > 0
-    return tuple(x[near] for x in (key, block, sid, n, label, sent))
+    return tuple(x[near] for x in (main, sid, n, label))
 
 
 def _linked(sid, n, label, sent, shingles: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -360,8 +360,28 @@ def shingles_of(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
                 [batch.column("set_id"), batch.column("n"), packed], names=["set_id", "n", "shingles"]
             ).filter(pa.array(of, pa.bool_()))
 
-    taken_sets = found.mapInArrow(taken, "set_id long, n long, shingles binary")
-    return taken_sets.groupBy("set_id", "n").agg(F.any_value("shingles").alias("shingles"))
+    return found.mapInArrow(taken, "set_id long, n long, shingles binary")
+
+
+def _grid(rows: DataFrame) -> DataFrame:
+    """``block, sent`` for rows ``key, main, set_id, n, label``; those outside the main component are also sent.
+
+    A tile takes a part of the sets of a key and a part of those sent, so neither side outgrows a task.
+    """
+    out = F.col("label") != F.col("main")
+    parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.greatest(c / TILE, size / TILE_SHINGLES)))
+    sizes = rows.groupBy("key").agg(
+        parts(F.count(F.lit(1)), F.sum("n")).alias("down"),
+        parts(F.count_if(out), F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0))).alias("across"),
+    )
+    rows = rows.join(sizes, "key")
+    part_of = lambda parts: F.pmod(F.xxhash64("set_id"), F.col(parts))
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    own = rows.withColumn("at", all_of("across")).withColumn("block", part_of("down") * F.col("across") + F.col("at"))
+    sent = rows.filter(out).withColumn("at", all_of("down"))
+    sent = sent.withColumn("block", F.col("at") * F.col("across") + part_of("across"))
+    both = own.withColumn("sent", F.lit(False)).unionByName(sent.withColumn("sent", F.lit(True)))
+    return both.select("key", "block", "main", "set_id", "n", "label", "sent")
 
 
 def _represented(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -466,35 +486,21 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     labels = stored(_labels(links, classes), "labels")
 
     labelled = stored(large.join(labels, ["set_id", "n"]), "labelled")
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"))
-    mixed_keys = counts.groupBy("key").agg(
-        F.max(F.struct("c", "label", "size")).alias("main"), F.count(F.lit(1)).alias("labels"),
-        F.sum("c").alias("c"), F.sum("size").alias("size"),
-    ).filter("labels > 1")
-    # A tile takes a part of the sets of a key and a part of those outside its main component.
-    parts = lambda c, size: F.ceil(F.greatest(F.col(c) / TILE, F.col(size) / TILE_SHINGLES))
-    mixed_keys = mixed_keys.select(
-        "key", F.col("main.label").alias("main"), parts("c", "size").alias("down"),
-        F.expr("c - main.c").alias("out_c"), F.expr("size - main.size").alias("out_size"),
-    ).withColumn("across", parts("out_c", "out_size"))
-    rows = labelled.join(stored(mixed_keys, "mixed"), "key")
-    count_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    part_of = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))
-    tile = ["key", "block", "set_id", "n", "label", "sent"]
-    own = rows.withColumn("at", F.explode(count_to("across"))).withColumn("block", part_of("down") * F.col("across") + F.col("at"))
-    sent = rows.filter("label <> main").withColumn("at", F.explode(count_to("down"))).withColumn(
-        "block", F.col("at") * F.col("across") + part_of("across")
-    )
-    rows = own.withColumn("sent", F.lit(False)).select(tile).union(sent.withColumn("sent", F.lit(True)).select(tile))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mains = counts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+    mains = stored(mains.filter("labels > 1").drop("labels"), "mains")
+    rows = _grid(labelled.join(mains, "key").select("key", "main", "set_id", "n", "label"))
     touched = _tiled(
-        rows.join(bits, ["set_id", "n"]), _touched, [*tile, "bits"],
-        "key long, block long, set_id long, n long, label long, sent boolean",
+        rows.join(bits, ["set_id", "n"]), _touched, ["main", "set_id", "n", "label", "sent", "bits"],
+        "key long, set_id long, n long, label long",
     )
-    touched = stored(touched, "touched")
+    # Keys around one component share most of their sets: these meet once for all keys.
+    touched = stored(touched.distinct(), "touched")
     needed = classes.join(touched.select("set_id", "n").distinct(), ["set_id", "n"])
-    sets = shingles_of(needed, docs, id_column, text)
+    sets = stored(shingles_of(needed, docs, id_column, text), "sets")
     more = _tiled(
-        touched.join(sets, ["set_id", "n"]), _linked, ["set_id", "n", "label", "sent", "shingles"], PAIR
+        _grid(touched.withColumn("main", F.col("key"))).join(sets, ["set_id", "n"]),
+        _linked, ["set_id", "n", "label", "sent", "shingles"], PAIR,
     )
     more = stored(_represented(more, classes), "links")
     final = _labels(links.union(more), classes)
