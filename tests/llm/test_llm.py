@@ -178,6 +178,7 @@ def brute_components(rows):
 def test_jaccard_join(spark, docs, rows, none, paired, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "PAIRED", paired)
     monkeypatch.setattr(jaccardjoin, "TILE", 3)
+    monkeypatch.setattr(jaccardjoin, "TILE_SHINGLES", 500)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     near = []
