@@ -22,21 +22,30 @@ CASED_CHARACTER = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
 def title_case(value: Column) -> Column:
     """Upper-case every letter that does not follow a letter, lower-case the others.
 
-    ``initcap`` only looks at blanks; here any character without case starts a new word.
+    ``initcap`` only looks at blanks; here any character without case starts a new word. Lower case is
+    taken from the whole value, where a letter may depend on its place, unless that changes its length.
     """
 
-    def from_chars(chars: Column) -> Column:
+    def from_chars(chars: Column, lowered: Column) -> Column:
+        same = F.size(lowered) == F.size(chars)
         return F.array_join(
             F.transform(
                 chars,
                 lambda c, i: F.when(
-                    (i > 0) & F.get(chars, i - 1).rlike(CASED_CHARACTER), F.lower(c)
+                    (i > 0) & F.get(chars, i - 1).rlike(CASED_CHARACTER),
+                    F.when(same, F.get(lowered, i)).otherwise(F.lower(c)),
                 ).otherwise(F.initcap(c)),
             ),
             "",
         )
 
-    return let(F.split(value, ""), from_chars)
+    return let(
+        value,
+        lambda whole: let(
+            F.split(whole, ""),
+            lambda chars: let(F.split(F.lower(whole), ""), lambda low: from_chars(chars, low)),
+        ),
+    )
 
 
 def extract_labelled_name(text: Column) -> Column:

@@ -9,7 +9,14 @@ from rolefit.functions import scores as sc
 from rolefit.functions import skills as sk
 from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import is_blank, sum_of_squares, term_counts, word_tokens
-from rolefit.operators.similarity import job_terms, tfidf_of_pair
+from rolefit.operators.similarity import (
+    job_terms,
+    meet_pairs,
+    paired_only,
+    resume_terms,
+    tfidf_of_counts,
+    tfidf_of_pair,
+)
 from rolefit.operators.skills import (
     VocabularySize,
     extract_skills,
@@ -75,9 +82,11 @@ def skills_of_job_in(text: Column, plain_skills: Column, other_skills: Column) -
                     F.transform(
                         F.filter(
                             other_skills,
+                            # A byte search rules out most before a pattern is compiled.
                             lambda o: (
                                 (o["token"] == "") | F.array_contains(tokens, o["token"])
                             )
+                            & F.contains(lowered, o["skill"])
                             & F.rlike(lowered, o["pattern"]),
                         ),
                         lambda o: o["skill"],
@@ -182,6 +191,54 @@ def score_candidates(
     )
 
 
+def score_pairs(
+    pairs: DataFrame,
+    resumes: DataFrame,
+    jobs: DataFrame,
+    vocabulary: DataFrame,
+    semantic: DataFrame | None = None,
+    stop_words: Iterable[str] | None = None,
+) -> DataFrame:
+    """Score, matched and missing skills of exactly the given ``pairs(candidate_id, job_id)``.
+
+    Terms and skills of a text are found once, however many pairs it has, and only they move. A blank
+    résumé, and a job without skills, give 0 and empty lists; a candidate or job that is not in its
+    table gives NULLs. Repeated pairs are repeated. ``semantic(candidate_id, job_id, semantic)``, one
+    row per pair, adds embedding similarity.
+    """
+    size = vocabulary_size(vocabulary)
+    texts = paired_only(resumes.select("candidate_id", "resume_text"), pairs)
+    shown = extract_skills(texts, vocabulary, "candidate_id", "resume_text", size=size)
+    blank = texts.select("candidate_id", is_blank(F.col("resume_text")).alias("blank"))
+    of_resumes = (
+        resume_terms(texts, stop_words)
+        .join(shown.withColumnRenamed("skills", "shown"), "candidate_id")
+        .join(blank, "candidate_id")
+    )
+    of_jobs = job_features(jobs, vocabulary, stop_words, size)
+    met = meet_pairs(pairs, of_resumes, of_jobs, features_bound(jobs, size))
+    nothing = F.array().cast("array<string>")
+    wanted = F.when(F.col("blank"), nothing).otherwise(F.col("job_skills"))
+    parts = met.select(
+        "candidate_id",
+        "job_id",
+        F.when(F.col("counts").isNotNull(), wanted).alias("job_skills"),
+        sk.matched_skills(wanted, F.col("shown")).alias("matched"),
+        tfidf_of_counts(F.col("counts"), F.col("na"), F.col("job_terms"), F.col("nb")).alias(
+            "tfidf"
+        ),
+    )
+    if semantic is not None:
+        keys = ["candidate_id", "job_id"]
+        parts = parts.join(semantic.select(*keys, "semantic"), keys, "left")
+    else:
+        parts = parts.withColumn("semantic", F.lit(None).cast("double"))
+    known = F.col("job_skills").isNotNull()
+    return score_columns(
+        parts, "candidate_id", "job_id", wrap=lambda value: F.when(known, value)
+    ).select("candidate_id", "job_id", "matching_score", "matched_skills", "missing_skills")
+
+
 def _job_term_index(features: DataFrame) -> DataFrame:
     return (
         features.select("job_id", explode_once(F.col("job_terms")).alias("c"))
@@ -227,8 +284,7 @@ def _evidence_in_place(
         ),
     )
     located = (
-        resumes.repartition("candidate_id")
-        .select(
+        resumes.select(
             "candidate_id",
             F.lower("resume_text").alias("lowered"),
             term_counts("resume_text", stop_words).alias("counts"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolefit.functions import scores as sc
 from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import sum_of_squares, term_counts
-from rolefit.plans.joins import sized_join, text_size
+from rolefit.plans.joins import fits_broadcast, salted_join, sized_join, text_size
 
 
 def term_frequencies(
@@ -78,20 +78,74 @@ def tfidf_applied(
     )
 
 
+def resume_terms(resumes: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+    """Term counts of each résumé and the sum of their squares, computed once per text."""
+    return resumes.select(
+        "candidate_id", term_counts("resume_text", stop_words).alias("counts")
+    ).select("candidate_id", "counts", sum_of_squares(F.col("counts")).alias("na"))
+
+
+def paired_only(resumes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The résumés that occur in ``pairs``, if those ids can be told to every task; else all."""
+    ids = pairs.select("candidate_id").distinct()
+    if fits_broadcast(ids):
+        return resumes.join(F.broadcast(ids), "candidate_id", "left_semi")
+    return resumes
+
+
+def meet_pairs(
+    pairs: DataFrame, of_resumes: DataFrame, of_jobs: DataFrame, bound: int
+) -> DataFrame:
+    """Every row of ``pairs(candidate_id, job_id)`` with the features of both its sides.
+
+    Features move, texts do not. A candidate or a job may hold any share of the pairs: its rows are
+    spread, by keys counted in ``pairs`` alone. A side that is unknown gives NULLs.
+    """
+    keys = pairs.select("candidate_id", "job_id")
+    with_resume = salted_join(keys, of_resumes, ["candidate_id"], "left", "job_id")
+    return sized_join(
+        with_resume, of_jobs, ["job_id"], "left", "candidate_id", bound=bound, counted=keys
+    )
+
+
+def tfidf_of_counts(counts: Column, na: Column, terms_of_job: Column, nb: Column) -> Column:
+    """TF-IDF score of two texts that have been counted; NULL where one is unknown."""
+    return F.when(
+        counts.isNotNull() & terms_of_job.isNotNull(),
+        let(
+            sc.shared_sums(counts, terms_of_job),
+            lambda s: sc.tfidf_score(s["dot"], s["sa"], s["sb"], na, nb),
+        ),
+    )
+
+
+def tfidf_pairs(
+    pairs: DataFrame,
+    resumes: DataFrame,
+    jobs: DataFrame,
+    stop_words: Iterable[str] | None = None,
+) -> DataFrame:
+    """TF-IDF score of exactly the given ``pairs(candidate_id, job_id)``, repeated rows included.
+
+    NULL if neither text has a term, or if the candidate or the job is not in its table.
+    """
+    counted = resume_terms(paired_only(resumes, pairs), stop_words)
+    met = meet_pairs(pairs, counted, job_terms(jobs, stop_words), job_terms_bound(jobs))
+    value = tfidf_of_counts(F.col("counts"), F.col("na"), F.col("job_terms"), F.col("nb"))
+    return met.select("candidate_id", "job_id", value.alias("tfidf"))
+
+
 def tfidf_all_pairs(
     resumes: DataFrame, jobs: DataFrame, stop_words: Iterable[str] | None = None
 ) -> DataFrame:
-    """TF-IDF score of every résumé and job that share a term.
+    """TF-IDF score of every résumé and job that share a term; for chosen pairs see ``tfidf_pairs``.
 
-    An absent pair scores 0, or NULL if neither text has a term. Résumés are placed by candidate
-    once; the sums per pair then need no further shuffle, which matters because there are many more
-    pairs than résumés.
+    An absent pair scores 0, or NULL if neither text has a term. Terms are counted where the text
+    lies; the counts are placed by candidate once, and the sums per pair need no further shuffle.
     """
     counted = (
-        resumes.select("candidate_id", "resume_text")
+        resume_terms(resumes, stop_words)
         .repartition("candidate_id")
-        .select("candidate_id", term_counts("resume_text", stop_words).alias("counts"))
-        .select("candidate_id", sum_of_squares(F.col("counts")).alias("na"), "counts")
         .select("candidate_id", "na", explode_once(F.col("counts")).alias("c"))
         .select("candidate_id", "na", "c.term", "c.tf")
     )

@@ -64,7 +64,7 @@ def _tokens(texts: DataFrame, key: str, *carried) -> DataFrame:
     # The empty token stands for the text itself: skills without letters or digits are keyed by it,
     # and so is the row that keeps a text in the result which has no skill at all.
     tokens = F.array_union(
-        word_tokens(F.lower("text")), F.array(F.lit("")).cast("array<string>")
+        word_tokens(F.col("lowered")), F.array(F.lit("")).cast("array<string>")
     )
     return texts.select(key, *carried, explode_once(tokens).alias("token"))
 
@@ -84,7 +84,9 @@ def skill_hits(
     contain its first token. With a vocabulary that fits, texts do not move. With one that does not,
     tokens are shuffled alone, and texts only where a pattern has to be confirmed.
     """
-    texts = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("lowered"))
+    # A byte search rules out most hits before a pattern is compiled for them.
+    fits = F.contains("lowered", "skill") & F.rlike(F.col("lowered"), F.col("pattern"))
     index = vocabulary_index(vocabulary)
     every_text = texts.sparkSession.range(1).select(
         F.lit("").alias("token"),
@@ -94,15 +96,14 @@ def skill_hits(
     index = index.unionByName(every_text)
     size = size or vocabulary_size(vocabulary)
     if fits_broadcast(index, limit, size.index_bound):
-        found = _tokens(texts, key, "text").join(F.broadcast(index), "token")
-        confirmed = F.col("pattern").isNull() | F.rlike(F.lower("text"), F.col("pattern"))
-        return found.filter(confirmed).select(key, "skill")
+        found = _tokens(texts, key, "lowered").join(F.broadcast(index), "token")
+        return found.filter(F.col("pattern").isNull() | fits).select(key, "skill")
     found = salted_join(_tokens(texts, key), index, ["token"], spread=key)
     settled = found.filter(F.col("pattern").isNull()).select(key, "skill")
     confirmed = (
         found.filter(F.col("pattern").isNotNull())
         .join(texts, key)
-        .filter(F.rlike(F.lower("text"), F.col("pattern")))
+        .filter(fits)
         .select(key, "skill")
     )
     return settled.unionByName(confirmed)

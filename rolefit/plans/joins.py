@@ -1,6 +1,8 @@
 """Joins of a large frame with one that is usually, but not always, small."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.session import ensure_checkpoint_dir
@@ -45,6 +47,7 @@ def sized_join(
     spread: str | None = None,
     limit: int | None = None,
     bound: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join that broadcasts ``small`` only if it was measured to fit, else shuffles with salt.
 
@@ -53,7 +56,7 @@ def sized_join(
     """
     if fits_broadcast(small, limit, bound):
         return large.join(F.broadcast(small), on, how)
-    return salted_join(large, small, on, how, spread)
+    return salted_join(large, small, on, how, spread, counted=counted)
 
 
 def salted_join(
@@ -63,34 +66,38 @@ def salted_join(
     how: str = "inner",
     spread: str | None = None,
     hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which every hot key of ``large`` is spread over several tasks.
 
     Keys are counted first (combined before the shuffle). A key with more than ``hot_rows`` rows gets
     ``ceil(rows / hot_rows)`` copies of its rows in ``small`` and each of its rows in ``large`` goes
     to one of them, chosen by hash so that a retried task chooses alike. There are at most
-    ``rows / hot_rows`` hot keys; they are counted once, and they too are broadcast only if they fit.
+    ``rows / hot_rows`` hot keys; they are counted once and broadcast if they fit, else joined with a
+    shuffle that adaptive execution splits. Rows with a NULL key match nothing and go anywhere.
+    ``counted`` is a cheaper frame with the same keys to count instead of ``large``.
     """
     per_copy = HOT_KEY_ROWS if hot_rows is None else hot_rows
     ensure_checkpoint_dir(large.sparkSession)
     hot = (
-        large.groupBy(*on)
+        (large if counted is None else counted)
+        .groupBy(*on)
         .count()
         .filter(F.col("count") > per_copy)
         .select(*on, F.ceil(F.col("count") / per_copy).cast("int").alias("_copies"))
         .checkpoint()
     )
-    if not fits_broadcast(hot):
-        return large.join(small, on, how)
-    hot = F.broadcast(hot)
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     varying = [F.col(spread)] if spread else [F.col(c) for c in large.columns]
+    without_key = reduce(Column.__or__, (F.col(c).isNull() for c in on))
     salted_large = (
         large.join(hot, on, "left")
         .withColumn(
             "_salt",
-            F.when(
-                F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*varying), F.col("_copies"))
-            ).otherwise(F.lit(0).cast("bigint")),
+            F.when(without_key, F.xxhash64(*varying))
+            .when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*varying), F.col("_copies")))
+            .otherwise(F.lit(0).cast("bigint")),
         )
         .drop("_copies")
     )

@@ -37,6 +37,7 @@ def screen_prepared(
     prepared: PreparedJobs,
     stop_words: Iterable[str] | None = None,
     limit: int | None = None,
+    semantic: DataFrame | None = None,
 ) -> DataFrame:
     """``screen_resumes`` for jobs that have been prepared."""
     paired = sized_join(
@@ -56,11 +57,15 @@ def screen_prepared(
         resume_path(F.col("filename")).alias("resume_path"),
         is_blank(F.col("resume_text")).alias("blank"),
         "job_skills",
-        F.lit(None).cast("double").alias("semantic"),
         *(column.alias(name) for name, column in profile.items()),
         *(column.alias(name) for name, column in pair_columns(stop_words).items()),
     )
 
+    if semantic is None:
+        parsed = parsed.withColumn("semantic", F.lit(None).cast("double"))
+    else:
+        parsed = parsed.join(semantic.select("candidate_id", "semantic"), "candidate_id", "left")
+
     def if_readable(column: Column) -> Column:
         return F.when(~F.col("blank"), column)
 
@@ -86,11 +91,14 @@ def screen_resumes(
     vocabulary: DataFrame,
     stop_words: Iterable[str] | None = None,
     limit: int | None = None,
+    semantic: DataFrame | None = None,
 ) -> DataFrame:
     """Candidate, job title and score of every résumé, as one row.
 
     The same rows as ``candidate_profiles`` over freshly parsed and scored tables, but each text is
     read once and, with jobs that fit, nothing is shuffled. The score is NULL for a résumé that could
-    not be read.
+    not be read. ``semantic(candidate_id, semantic)``, one row per candidate, adds embedding
+    similarity; it meets the parsed rows, which carry no text.
     """
-    return screen_prepared(resumes, prepare_jobs(jobs, vocabulary, stop_words), stop_words, limit)
+    prepared = prepare_jobs(jobs, vocabulary, stop_words)
+    return screen_prepared(resumes, prepared, stop_words, limit, semantic)

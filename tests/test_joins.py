@@ -32,6 +32,17 @@ def test_every_strategy_gives_the_same_rows(sides, how):
         assert sorted(map(tuple, frame.collect()), key=repr) == plain
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("fits", [True, False])
+def test_rows_without_a_key_and_many_hot_keys(sides, how, fits, monkeypatch):
+    large, small = sides
+    large = large.withColumn("key", F.when(F.col("row") % 4 != 1, F.col("key")))
+    plain = sorted(map(tuple, large.join(small, ["key"], how).collect()), key=repr)
+    monkeypatch.setattr("rolefit.plans.joins.fits_broadcast", lambda *_: fits)
+    salted = salted_join(large, small, ["key"], how, "row", hot_rows=5, counted=large.select("key"))
+    assert sorted(map(tuple, salted.collect()), key=repr) == plain
+
+
 def test_salt_spreads_a_hot_key(sides, spark):
     large, small = sides
     spark.conf.set("spark.sql.adaptive.enabled", "false")

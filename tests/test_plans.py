@@ -66,15 +66,19 @@ def test_scan_reads_the_columns_it_needs(inputs):
     assert "regexp_extract_all(lower(resume_text" not in plan_of(counted)
 
 
-def test_pairs_shuffle_texts_once_and_sums_never(inputs):
+@pytest.mark.parametrize("kind", ["tfidf", "score", "all tfidf", "all scores"])
+def test_pairs_shuffle_no_text(inputs, kind):
     resumes, jobs, vocabulary = inputs
-    for frame in (
-        similarity.tfidf_all_pairs(resumes, jobs),
-        scoring.score_all_pairs(resumes, jobs, vocabulary),
-    ):
-        path = text_side(plan_of(frame))
-        assert len([line for line in path if "Exchange" in line]) == 1
-        assert len([line for line in path if "regexp_extract_all(lower(resume_text" in line]) <= 1
+    pairs = resumes.select("candidate_id", "job_id")
+    frame = {
+        "tfidf": lambda: similarity.tfidf_pairs(pairs, resumes, jobs),
+        "score": lambda: scoring.score_pairs(pairs, resumes, jobs, vocabulary),
+        "all tfidf": lambda: similarity.tfidf_all_pairs(resumes, jobs),
+        "all scores": lambda: scoring.score_all_pairs(resumes, jobs, vocabulary),
+    }[kind]()
+    path = text_side(plan_of(frame))
+    first = next(i for i, line in enumerate(path) if "Exchange" in line)
+    assert not [line for line in path[first:] if "resume_text" in line or "lowered" in line]
 
 
 def test_tokens_meet_the_vocabulary_in_place(inputs):

@@ -118,6 +118,42 @@ def test_tfidf_all_pairs(corpus, limit, monkeypatch):
             assert got.get((c, j), 0.0) == (by_definition(text or "", wanted) or 0.0)
 
 
+PAIRS = [(c, j) for c in range(9) for j in range(5)] + [(1, 1), (999, 0), (0, 999), (None, 1)]
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_given_pairs(spark, corpus, salted, monkeypatch):
+    jobs, resumes, job_frame, resume_frame, vocabulary = corpus
+    texts = {c: t for c, _, t in resumes}
+    if salted:
+        force_salt(monkeypatch)
+    pairs = spark.createDataFrame(PAIRS, "candidate_id long, job_id long")
+    similar = similarity.tfidf_pairs(pairs, resume_frame, job_frame).collect()
+    scored = scoring.score_pairs(pairs, resume_frame, job_frame, vocabulary).collect()
+    for rows in (similar, scored):
+        assert Counter((r.candidate_id, r.job_id) for r in rows) == Counter(PAIRS)
+    known = lambda r: r.candidate_id in texts and r.job_id in jobs
+    for r in similar:
+        text = texts.get(r.candidate_id) or ""
+        assert r.tfidf == (by_definition(text, jobs[r.job_id]) if known(r) else None)
+    for r in scored:
+        expected = (None, None, None)
+        if known(r):
+            score, matched, missing = pair_score(texts[r.candidate_id], jobs[r.job_id])
+            expected = (score, ", ".join(matched), ", ".join(missing))
+        assert (r.matching_score, r.matched_skills, r.missing_skills) == expected
+
+
+def test_given_pairs_with_embeddings(spark, corpus):
+    _, _, job_frame, resume_frame, vocabulary = corpus
+    pairs = spark.createDataFrame([(2, 1), (1, 0), (0, 0)], "candidate_id long, job_id long")
+    semantic = spark.createDataFrame(
+        [(2, 1, 50.0), (1, 0, 10.0)], "candidate_id long, job_id long, semantic double"
+    )
+    rows = scoring.score_pairs(pairs, resume_frame, job_frame, vocabulary, semantic).collect()
+    assert {r.candidate_id: r.matching_score for r in rows} == {2: 85.0, 1: 23.0, 0: 50.0}
+
+
 def force_salt(monkeypatch):
     """Send every sized join down the shuffle path with several copies of frequent keys."""
     from rolefit.plans import joins

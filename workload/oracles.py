@@ -4,7 +4,6 @@ from rolefit.functions.scores import IDF_OF_ONE_SQUARED
 from rolefit.functions.skills import DEFAULT_SKILLS
 from rolefit.functions.text import default_stop_words
 from rolefit.operators import notify
-from workload.standins import N_JOBS
 
 K2 = f"{IDF_OF_ONE_SQUARED!r}e0"
 K2_MINUS_1 = f"{IDF_OF_ONE_SQUARED - 1.0!r}e0"
@@ -97,11 +96,11 @@ VOCABULARY = """vocab AS (
     SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS skill FROM benchmark)
   WHERE length(skill) >= 5)"""
 
-RESUMES = f"""resumes AS (
-  SELECT doc_id AS candidate_id, doc_id % {N_JOBS} AS job_id,
+RESUMES = """resumes AS (
+  SELECT CASE WHEN unreadable THEN -1 - doc_id ELSE doc_id END AS candidate_id, wanted AS job_id,
     concat(source, '_', lang, '-doc-', doc_id, '.pdf') AS filename,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at,
-    CASE WHEN doc_id % 50 = 49 THEN '' ELSE concat(
+    CASE WHEN unreadable THEN '' ELSE concat(
       CASE WHEN doc_id % 4 = 1 THEN concat('Full Name: ', lang, ' ', source, chr(10)) ELSE '' END,
       repeat(concat(b.text, ' '),
         CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 16 ELSE 0 END),
@@ -109,7 +108,11 @@ RESUMES = f"""resumes AS (
       CASE WHEN doc_id % 6 = 0 THEN concat(' ', doc_id % 9, ' years of experience') ELSE '' END,
       CASE WHEN doc_id % 3 = 0 THEN concat(' user', doc_id, '@example.com') ELSE '' END)
     END AS resume_text
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % {N_JOBS})"""
+  FROM (
+    SELECT *, doc_id % (SELECT count(*) FROM benchmark) AS wanted,
+      unnest(CASE WHEN doc_id % 50 = 49 THEN [false, true] ELSE [false] END) AS unreadable
+    FROM documents) d
+  JOIN benchmark b ON b.item_id = d.wanted)"""
 
 CARDS = """cards AS (
   SELECT p_partkey AS doc_id,
@@ -332,8 +335,74 @@ scored AS (
   FROM blended)"""
 
 
+PAIRS = """pairs AS (
+  SELECT candidate_id,
+    unnest(list_distinct([candidate_id % n, (candidate_id * 7 + 3) % n])) AS job_id
+  FROM resumes, (SELECT count(*) AS n FROM benchmark))"""
+PAIR_TFIDF = f"""{_term_rows('resume_terms', 'resumes', 'candidate_id', 'resume_text')},
+{_term_rows('job_terms', 'jobs', 'job_id', 'description')},
+resume_norms AS (
+  SELECT candidate_id, sum(tf * tf)::BIGINT AS na FROM resume_terms GROUP BY candidate_id),
+job_norms AS (SELECT job_id, sum(tf * tf)::BIGINT AS nb FROM job_terms GROUP BY job_id),
+shared AS (
+  SELECT p.candidate_id, p.job_id, sum(t.tf * j.tf)::BIGINT AS dot, sum(t.tf * t.tf)::BIGINT AS sa,
+    sum(j.tf * j.tf)::BIGINT AS sb
+  FROM pairs p JOIN resume_terms t USING (candidate_id)
+  JOIN job_terms j ON j.job_id = p.job_id AND j.term = t.term GROUP BY ALL),
+sums AS (
+  SELECT p.candidate_id, p.job_id, coalesce(dot, 0) AS dot, coalesce(sa, 0) AS sa,
+    coalesce(sb, 0) AS sb, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb
+  FROM pairs p LEFT JOIN shared USING (candidate_id, job_id)
+  LEFT JOIN resume_norms USING (candidate_id) LEFT JOIN job_norms USING (job_id)),
+tfidf AS (SELECT candidate_id, job_id, {_cosine('dot', 'sa', 'sb', 'na', 'nb')} AS tfidf FROM sums)"""
+
+SEMANTIC = """vectors AS (
+  SELECT p.candidate_id, p.job_id, CAST(r.embedding AS DOUBLE[]) AS a,
+    CAST(j.embedding AS DOUBLE[]) AS b
+  FROM pairs p JOIN embeddings r ON r.vec_id = p.candidate_id
+  JOIN embeddings j ON j.vec_id = p.job_id),
+products AS (
+  SELECT candidate_id, job_id, list_inner_product(a, b) AS ab,
+    sqrt(list_inner_product(a, a)) AS na, sqrt(list_inner_product(b, b)) AS nb FROM vectors),
+semantic AS (
+  SELECT candidate_id, job_id, CASE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE
+    ELSE round_even(greatest(0.0::DOUBLE, ab / (na * nb)) * 100 * 100, 0) / 100 END AS semantic
+  FROM products)"""
+
+PAIR_SCORES = """job_skills AS (
+  SELECT DISTINCT job_id, skill FROM (
+    SELECT job_id, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) AS skill FROM jobs)
+  SEMI JOIN vocab USING (skill)),
+resume_tokens AS (
+  SELECT DISTINCT candidate_id, skill FROM (
+    SELECT candidate_id, unnest(regexp_extract_all(lower(resume_text), '[a-z0-9]+')) AS skill
+    FROM resumes)),
+judged AS (
+  SELECT p.candidate_id, p.job_id, s.skill, t.skill IS NOT NULL AS hit
+  FROM pairs p JOIN resumes r USING (candidate_id) JOIN job_skills s ON s.job_id = p.job_id
+  LEFT JOIN resume_tokens t ON t.candidate_id = p.candidate_id AND t.skill = s.skill
+  WHERE r.resume_text <> ''),
+matches AS (
+  SELECT p.candidate_id, p.job_id, count(skill) AS n_wanted,
+    count(skill) FILTER (WHERE hit) AS n_matched,
+    coalesce(string_agg(skill, ', ' ORDER BY skill) FILTER (WHERE hit), '') AS matched_skills,
+    coalesce(string_agg(skill, ', ' ORDER BY skill) FILTER (WHERE NOT hit), '') AS missing_skills
+  FROM pairs p LEFT JOIN judged j USING (candidate_id, job_id) GROUP BY ALL),
+scored AS (
+  SELECT candidate_id, job_id, matched_skills, missing_skills,
+    CASE WHEN n_wanted = 0 THEN 0.0::DOUBLE ELSE round_even((CASE
+      WHEN tfidf IS NULL THEN n_matched::DOUBLE / n_wanted * 100
+      WHEN semantic IS NULL
+        THEN (n_matched::DOUBLE / n_wanted * 100) * 0.5::DOUBLE + tfidf * 0.5::DOUBLE
+      ELSE (n_matched::DOUBLE / n_wanted * 100) * 0.4::DOUBLE + tfidf * 0.3::DOUBLE
+        + semantic * 0.3::DOUBLE END) * 100, 0) / 100 END AS matching_score
+  FROM matches JOIN tfidf USING (candidate_id, job_id)
+  LEFT JOIN semantic USING (candidate_id, job_id))"""
+APPLIED = "pairs AS (SELECT candidate_id, job_id FROM resumes)"
+
+
 def _skill_pattern(skill: str) -> str:
-    escaped = f"regexp_replace({skill}, '([^a-z0-9])', '\\\\\\1', 'g')"
+    escaped = f"regexp_replace({skill}, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g')"
     return f"concat('(^|[^a-z0-9])', {escaped}, '($|[^a-z0-9])')"
 
 
@@ -405,6 +474,33 @@ GROUP BY d.doc_id""",
     + f"""SELECT c.doc_id, coalesce(string_agg(skill, ', ' ORDER BY skill), '') AS skills
 FROM cards c LEFT JOIN {SKILLS} ON regexp_matches(lower(c.text), {_skill_pattern('skill')})
 GROUP BY c.doc_id""",
+    "extract_document_fields": f"""SELECT doc_id, {_phone('text')} AS phone, {_years('text')} AS years,
+  {_label('label')} AS name, skills
+FROM (
+  SELECT d.doc_id, d.text, {_raw_label('d.text')} AS label,
+    coalesce(string_agg(skill, ', ' ORDER BY skill), '') AS skills
+  FROM documents d LEFT JOIN {SKILLS} ON regexp_matches(lower(d.text), {_skill_pattern('skill')})
+  GROUP BY d.doc_id, d.text)""",
+    "extract_phrases": f"""WITH phrases AS (
+  SELECT DISTINCT regexp_extract(lower(text), '[^ \n]+ [^ \n]+$', 0) AS skill FROM benchmark)
+SELECT d.doc_id, coalesce(string_agg(skill, ', ' ORDER BY skill), '') AS skills
+FROM documents d LEFT JOIN phrases ON skill <> ''
+  AND regexp_matches(lower(d.text), {_skill_pattern('skill')})
+GROUP BY d.doc_id""",
+    "tfidf_pairs": _with(*ALL_PAIRS, PAIRS, PAIR_TFIDF)
+    + "SELECT candidate_id, job_id, tfidf FROM tfidf",
+    "score_pairs": _with(
+        ALL_PAIRS[0], VOCABULARY, ALL_PAIRS[1], PAIRS, PAIR_TFIDF, SEMANTIC, PAIR_SCORES
+    )
+    + "SELECT candidate_id, job_id, matching_score, matched_skills, missing_skills FROM scored",
+    "screen_with_embeddings": _with(
+        JOBS, VOCABULARY, RESUMES, APPLIED, PAIR_TFIDF, SEMANTIC, PAIR_SCORES
+    )
+    + """SELECT candidate_id, job_id,
+  CASE WHEN resume_text <> '' THEN matching_score END AS matching_score,
+  CASE WHEN resume_text <> '' THEN matched_skills END AS matched_skills,
+  CASE WHEN resume_text <> '' THEN missing_skills END AS missing_skills
+FROM scored JOIN resumes USING (candidate_id, job_id)""",
     "match_skills": _with(JOBS, VOCABULARY, RESUMES, MATCHES)
     + "SELECT candidate_id, job_id, matched_skills, missing_skills FROM matches",
     "keyword_score": _with(JOBS, VOCABULARY, RESUMES, MATCHES)
@@ -489,8 +585,7 @@ FROM ranked WHERE rank <= 3""",
     + f"SELECT job_id, title, {MINUTES} FROM jobs ORDER BY jobs.created_at DESC, job_id DESC",
     "latest_job_candidates": _with(*PROFILED, RANKED)
     + """SELECT job_id, candidate_id, matching_score, rank FROM ranked WHERE job_id = (
-  SELECT job_id FROM jobs WHERE job_id IN (SELECT job_id FROM resumes)
-  ORDER BY created_at DESC, job_id DESC LIMIT 1)""",
+  SELECT job_id FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 1)""",
     "report_status": _with(*SCORED)
     + """SELECT candidate_id, CASE WHEN matching_score >= 70 THEN 'Shortlisted'
   WHEN matching_score >= 40 THEN 'Under Review' ELSE 'Not Recommended' END AS status

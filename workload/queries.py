@@ -13,6 +13,7 @@ from rolefit.operators.profiles import parse_profiles as parse
 from rolefit.operators.report import candidate_report as report
 from rolefit.operators.skills import explode_skills as explode_tags
 from rolefit.operators.skills import extract_skills as skills_of
+from rolefit.plans.screening import screen_resumes
 from rolefit.session import configure, scratch_path
 from rolefit.sources import exports, files, tables
 from rolefit.streaming.screen import read_screened
@@ -156,6 +157,28 @@ def extract_default_skills(spark, d):
     )
 
 
+def extract_document_fields(spark, d):
+    documents = st.spread_small_scan(
+        st.table(spark, d, "documents").select("doc_id", "text"), "doc_id"
+    )
+    text = F.col("text")
+    return documents.select(
+        "doc_id",
+        contact.extract_phone(text).alias("phone"),
+        experience.extract_experience_years(text).alias("years"),
+        names.extract_labelled_name(text).alias("name"),
+        sk.join_skills(sk.skills_in(text)).alias("skills"),
+    )
+
+
+def extract_phrases(spark, d):
+    documents = st.spread_small_scan(
+        st.table(spark, d, "documents").select("doc_id", "text"), "doc_id"
+    )
+    found = skills_of(documents, st.phrases(spark, d))
+    return found.select("doc_id", sk.join_skills(F.col("skills")).alias("skills"))
+
+
 def match_skills(spark, d):
     parts = scoring.pair_components(
         st.resumes(spark, d), st.jobs(spark, d), st.vocabulary(spark, d)
@@ -196,6 +219,10 @@ def tfidf_all_pairs(spark, d):
     return similarity.tfidf_all_pairs(st.plain_resumes(spark, d), st.jobs(spark, d))
 
 
+def tfidf_pairs(spark, d):
+    return similarity.tfidf_pairs(st.pairs(spark, d), st.plain_resumes(spark, d), st.jobs(spark, d))
+
+
 def semantic_similarity(spark, d):
     return similarity.semantic_similarity(st.resume_vectors(spark, d), st.job_vectors(spark, d))
 
@@ -223,6 +250,30 @@ def score_all_pairs(spark, d):
     )
 
 
+def score_pairs(spark, d):
+    pairs = st.pairs(spark, d)
+    return scoring.score_pairs(
+        pairs,
+        st.plain_resumes(spark, d),
+        st.jobs(spark, d),
+        st.vocabulary(spark, d),
+        st.semantic(spark, d, pairs),
+    )
+
+
+def screen_with_embeddings(spark, d):
+    resumes = st.resumes(spark, d)
+    screened = screen_resumes(
+        resumes,
+        st.jobs(spark, d),
+        st.vocabulary(spark, d),
+        semantic=st.semantic(spark, d, resumes),
+    )
+    return screened.select(
+        "candidate_id", "job_id", "matching_score", "matched_skills", "missing_skills"
+    )
+
+
 def split_skills(spark, d):
     array = sk.split_skills(F.col("missing_skills"))
     return st.scores(spark, d).select(
@@ -246,7 +297,16 @@ def candidate_profiles(spark, d):
 
 
 def first_score(spark, d):
-    first = lookups.first_score(st.scores(spark, d))
+    scores = st.scores(spark, d)
+    # A later run with lower ids and other scores.
+    later = scores.withColumns(
+        {
+            "score_id": F.col("score_id") - 1_000_000_000,
+            "created_at": F.col("created_at") + F.make_dt_interval(days=F.lit(1)),
+            "matching_score": 100.0 - F.col("matching_score"),
+        }
+    )
+    first = lookups.first_score(later.unionByName(scores))
     return (
         st.candidates(spark, d)
         .join(first, "candidate_id", "left")
@@ -335,20 +395,12 @@ def list_jobs(spark, d):
 
 
 def latest_job_candidates(spark, d):
-    latest = ranking.latest_job_candidates(
-        st.screened(spark, d), _jobs_with_candidates(spark, d)
-    )
+    latest = ranking.latest_job_candidates(st.screened(spark, d), st.jobs(spark, d))
     return latest.select(
         "job_id", "candidate_id", "matching_score", F.col("rank").cast("bigint").alias("rank")
     )
 
 
-def _jobs_with_candidates(spark, d):
-    return st.jobs(spark, d).join(
-        st.candidates(spark, d).select("job_id").distinct(), "job_id", "left_semi"
-    )
-
-
 # Report and mails
 
 
@@ -405,7 +457,8 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     extract_email, extract_phone, extract_experience_years, experience_level,
     extract_labelled_name, title_case, name_from_filename, resolve_name, fill_contact_defaults,
     parse_profiles, split_skills, explode_skills, format_experience, extract_skills,
-    extract_default_skills, match_skills, keyword_score, term_frequencies, tfidf_applied,
+    extract_default_skills, extract_document_fields, extract_phrases, tfidf_pairs, score_pairs,
+    screen_with_embeddings, match_skills, keyword_score, term_frequencies, tfidf_applied,
     tfidf_all_pairs, semantic_similarity, blend_scores, score_candidates, score_all_pairs,
     candidate_profiles, first_score, candidates_for_job, delete_jobs, delete_candidates,
     processed_counts, candidate_counts, rank_candidates, top_k_candidates, list_jobs,

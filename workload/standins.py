@@ -2,7 +2,8 @@
 
 The test tables hold prose, not résumés. A candidate is a document whose text is mixed with the text of
 the job it is sent to (not at all, or 1, 4 or 16 times), so that scores cover the whole range, and with
-a name label, a statement of experience or an address in some. Whole texts and whole tables are used.
+a name label, a statement of experience or an address in some. Whole texts and whole tables are used;
+every 50th document has a second candidate whose file could not be read.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,10 @@ from pyspark.sql import functions as F
 from rolefit.operators.lookups import candidate_profiles
 from rolefit.operators.profiles import parse_profiles
 from rolefit.operators.scoring import score_candidates
+from rolefit.operators.similarity import semantic_similarity
 from rolefit.plans.layout import spread_small_scan
 from rolefit.plans.screening import screen_resumes
 
-N_JOBS = 40  # every scale has at least these
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +30,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def n_jobs(spark: SparkSession, sf_dir: str) -> int:
+    """Number of jobs; their ids count from 0."""
+    return table(spark, sf_dir, "benchmark").count()
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.explode(F.split(F.lower("text"), "[^a-z0-9]+"))
     return (
@@ -41,6 +45,12 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two words of each job's description, with their full stop."""
+    last = F.regexp_extract(F.lower("text"), r"[^ \n]+ [^ \n]+$", 0)
+    return table(spark, sf_dir, "benchmark").select(last.alias("skill")).distinct()
+
+
 def filename() -> Column:
     return F.concat(
         "source", F.lit("_"), "lang", F.lit("-doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")
@@ -51,7 +61,10 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread_small_scan(
         table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id"
     )
-    keyed = documents.withColumn("job_id", F.col("doc_id") % N_JOBS)
+    unreadable = F.when(F.col("doc_id") % 50 == 49, F.array(F.lit(False), F.lit(True)))
+    keyed = documents.withColumn("job_id", F.col("doc_id") % n_jobs(spark, sf_dir)).withColumn(
+        "unreadable", F.explode(unreadable.otherwise(F.array(F.lit(False))))
+    )
     wanted = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("job_id"), F.col("text").alias("wanted")
     )
@@ -76,10 +89,10 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return keyed.join(wanted, "job_id").select(
-        doc_id.alias("candidate_id"),
+        F.when(F.col("unreadable"), -1 - doc_id).otherwise(doc_id).alias("candidate_id"),
         "job_id",
         filename().alias("filename"),
-        F.when(doc_id % 50 == 49, "").otherwise(text).alias("resume_text"),
+        F.when(F.col("unreadable"), "").otherwise(text).alias("resume_text"),
         (start + F.make_dt_interval(mins=doc_id.cast("int"))).alias("created_at"),
     )
 
@@ -94,6 +107,27 @@ def plain_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with two jobs, or one where both are the same."""
+    doc_id, n = F.col("doc_id"), n_jobs(spark, sf_dir)
+    both = F.array_distinct(F.array(doc_id % n, (doc_id * 7 + 3) % n))
+    return table(spark, sf_dir, "documents").select(
+        doc_id.alias("candidate_id"), F.explode(both).alias("job_id")
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """The vector of each document or job that has one."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), "embedding")
+
+
+def semantic(spark: SparkSession, sf_dir: str, applied: DataFrame) -> DataFrame:
+    """Embedding cosine of ``applied(candidate_id, job_id)``; NULL where a vector is missing."""
+    keys = applied.select("candidate_id", "job_id")
+    known = keys.join(vectors(spark, sf_dir, "candidate_id"), "candidate_id", "left")
+    return semantic_similarity(known, vectors(spark, sf_dir, "job_id"))
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short texts with a name, a statement of experience and skills of the default vocabulary."""
     key = F.col("p_partkey")
