@@ -64,7 +64,7 @@ def test_file_names(values):
     assert values(names.name_from_filename(F.col(V)), list(cases)) == list(cases.values())
 
 
-@pytest.mark.parametrize("text", ["o'brien-smith", "R&D lead", "élan VITAL", "a1b2 c", "ΑΒγ δ", "straße ßa", ""])
+@pytest.mark.parametrize("text", ["o'brien-smith", "R&D lead", "élan VITAL", "a1b2 c", "ΑΒγ δ", "straße ßa", "ΟΔΟΣ ΣΟΦΟΣ", "İZMİR yolu", ""])
 def test_title_case_is_the_python_one(values, text):
     assert values(names.title_case(F.col(V)), [text]) == [text.title()]
 
