@@ -84,21 +84,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def common_lines(documents: DataFrame, min_documents: int, max_percent: int) -> DataFrame:
     """``(_host, line)`` of lines above the limits.
 
-    ``documents`` has one row per distinct text of a host: ``_host``, ``_keys``, the
-    least key ``_mark`` and the next, ``_second``. Copies
-    with a few edits count as one document too: for each line, documents are told apart by the least
-    key among their other lines.
+    ``documents`` has one row per distinct text of a host: ``_host`` and ``_keys``, its distinct line
+    keys. So every row of a line is another document, and counts combine before they move.
     """
-    marked = documents.select("_host", "_mark").distinct()
-    hosts = marked.groupBy("_host").agg(F.count(F.lit(1)).alias("_documents"))
+    hosts = documents.groupBy("_host").agg(F.count(F.lit(1)).alias("_documents"))
     counted = (
-        documents.select("_host", "_mark", "_second", F.explode("_keys").alias("line"))
-        .select(
-            "_host",
-            "line",
-            F.when(F.col("line") == F.col("_mark"), F.col("_second")).otherwise(F.col("_mark")).alias("_by"),
-        )
-        .distinct()
+        documents.select("_host", F.explode("_keys").alias("line"))
         .groupBy("_host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_documents)
@@ -125,9 +116,8 @@ def quality_rules(
     ``base_failed``, ``n_common_words`` (words in lines above the limits) and ``kept``. With
     ``with_text`` also ``clean_text``, the text without those lines; else the text column is dropped.
 
-    A line's documents are counted per host: texts that are equal count once, and so do texts whose
-    other lines have the same least key, as near copies have. Null hosts form one host. A null text is empty: no
-    words, base_failed. Repeated rows, null ids and other columns are kept as they are; an empty
+    A line's documents are counted per host: texts that are equal count once, all others, near copies
+    too, count each. Null hosts form one host. A null text is empty: no words, base_failed. Repeated rows, null ids and other columns are kept as they are; an empty
     table gives an empty result. Columns whose names begin with an underscore are reserved.
     """
     wide = (
@@ -154,9 +144,7 @@ def quality_rules(
         .groupBy("_host", "_text_key")
         .agg(F.any_value("_found").alias("_found"))
         .filter(F.size("_found") > 0)
-        .withColumn("_keys", F.array_sort(F.array_distinct(F.col("_found")["line"])))
-        .withColumn("_mark", F.get("_keys", F.lit(0)))
-        .withColumn("_second", F.get("_keys", F.lit(1)))
+        .withColumn("_keys", F.array_distinct(F.col("_found")["line"]))
     )
     common = common_lines(texts, min_documents, max_percent)
     removed = (

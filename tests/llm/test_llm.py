@@ -265,6 +265,21 @@ def test_quality_rules(spark, docs, rows, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_template_pages(spark):
+    """Pages of one template count each: with only digits apart, and with one line of their own."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    template = [" ".join(word() for _ in range(8)) for _ in range(50)]
+    rows = [(i, "\n".join(f"{line} {100 + i}" for line in template), "digits") for i in range(200)]
+    rows += [(1000 + i, "\n".join([*template, word() + " " + word()]), "own") for i in range(400)]
+    rows += [(2000 + i, "\n".join(" ".join(word() for _ in range(8)) for _ in range(5)), h) for h in ("digits", "own") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in quality.quality_rules(frame).collect():
+        assert not r.base_failed
+        assert r.kept == (r.doc_id >= 2000), r
+        assert r.n_common_words == (450 if r.source == "digits" else 400) * (r.doc_id < 2000)
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
