@@ -84,6 +84,25 @@ def test_surrogates(spark, none):
     assert surrogates.replace_personal_data(none, "key").count() == 0
 
 
+def test_names_of_one_person(spark):
+    texts = [
+        "Mr Smith met Dr. Smith. Mr. Smith is Mr. Adam Smith, and Dr. Adam Smith too. Then Smith left; Adam Smith's dog and Adam stayed.",
+        "Ms. Eve Smith and Prof. Dr. Keller saw Smithers. Smith@mail3.example.com, Adam Smith@mail3.example.com",
+        "Dr. Eve Smith wrote. Smithers and Adam have no title here.",
+    ]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    a, b, c = (r.text for r in surrogates.replace_personal_data(frame, "key").orderBy("doc_id").collect())
+    family = a.split()[1]
+    given = a.split(" is Mr. ")[1].split()[0]
+    assert family not in ("Smith", "Adam") and given in surrogates.NAMES["m", "latin"]
+    assert a == texts[0].replace("Smith", family).replace("Adam", given)
+    eve = b.split()[1]
+    assert eve in surrogates.NAMES["f", "latin"] and b.split()[2] == family
+    assert b.split()[4:6] == ["Prof.", "Dr."] and "Keller" not in b and " saw Smithers. " in b
+    assert "Smith@" not in b and b.count(".example.org") == 2
+    assert c == texts[2].replace("Eve Smith", f"{eve} {family}")
+
+
 def test_token_files(spark, docs, rows, none):
     path = scratch_path(spark, "tokens")
     tokenfiles.write_tokens(docs, path, BYTES)
