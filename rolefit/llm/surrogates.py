@@ -19,11 +19,16 @@ NAMES = {
 }
 # One title or several, as in "Prof. Dr. "; what follows is a family name or a given and a family name.
 TITLED = rf"(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES})\.? )+"
+# Labels of secrets in any case, what may follow as in secret_key or token2, and how keys begin.
+LABELS = "(?i:password|passwd|secret|token|api[_ -]?key)"
+LABEL_END = r"(?i:[_.-][A-Z0-9_.-]{1,30}|[0-9]{1,3}|s|key|value)?"
+PREFIXES = "ghp_|gho_|sk_live_|sk-"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}"
+    "email": r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}\p{M}0-9._%+-]++@[\p{L}\p{M}0-9-]+(?:\.[\p{L}\p{M}0-9-]+)*\.\p{L}{2,}",
+    # The value of an assignment, then whether a label stands before it.
+    "secret": rf"(?<=[=:>][ ]{{0,2}}[\"']?)(?=[A-Za-z0-9+/_-]{{8}})(?<={LABELS}{LABEL_END}[\"']?\]?[ ]{{0,2}}[=:]{{1,2}}>?[ ]{{0,2}}[\"']?)[A-Za-z0-9+/_-]{{8,}}"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:ghp_|gho_|sk_live_|sk-)[A-Za-z0-9]{16,}",
+    rf"|(?<![A-Za-z0-9])(?:{PREFIXES})[A-Za-z0-9]{{16,}}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{13}(?![0-9])",
@@ -34,7 +39,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What every match contains: texts without it are not searched.
-HINT = rf"[0-9@]|(?:password|passwd|secret|token|api_?key)[ ]{{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|{OPEN_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{LABELS}|AKIA|ASIA|{PREFIXES}|{TITLED}\p{{Lu}}"
 DIGIT_TYPES = ("card", "ssn", "phone")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +80,7 @@ def _disguised(value: Column, stream: Column, hexadecimal: bool = False) -> Colu
             lambda c, i: F.when(c.rlike("[0-9]"), F.pmod(at(i), F.lit(10)).cast("string"))
             .when(c.rlike("[a-z]"), letter(i, LETTERS))
             .when(c.rlike("[A-Z]"), letter(i, LETTERS.upper()))
+            .when(c.rlike(r"[\p{L}\p{M}]"), letter(i, LETTERS))
             .otherwise(c),
         ),
         "",

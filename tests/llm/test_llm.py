@@ -103,6 +103,24 @@ def test_names_of_one_person(spark):
     assert c == texts[2].replace("Eve Smith", f"{eve} {family}")
 
 
+def test_detected_forms(spark):
+    value = "kQzWvBnMxYpLrTdG"
+    labelled = ["Password: {}", "API_KEY={}", "TOKEN={}", "client_secret_key = {}", '"api_key": "{}"', "env['Token'] = '{}'", "apiKey: {}", "secret => {}"]
+    texts = [x.format(value) for x in labelled]
+    texts += ["see AKIA" + value.upper() + " here", "ghp_" + value, "gho_" + value, "sk-" + value]
+    plain = ["Secretary: Konstantinopel", "the tokenizer: straightforward", "a token of appreciation"]
+    mails = ["jürgen.groß@mail3.example.com", "иван@mail3.example.com", "MÜLLER@MAIL3.EXAMPLE.COM", "anna@müller.de"]
+    frame = spark.createDataFrame([*enumerate(texts + plain + mails)], "doc_id long, text string")
+    got = surrogates.replace_personal_data(frame, "key").orderBy("doc_id").collect()
+    for r, old in zip(got, texts, strict=False):
+        assert [e.kind for e in r.entities] == ["secret"] and value not in r.text and value.upper() not in r.text, r
+        assert len(r.text) == len(old)
+    assert [r.text for r in got[len(texts) : -4]] == plain
+    for r, old in zip(got[-4:], mails, strict=True):
+        assert [e.kind for e in r.entities] == ["email"] and r.text == (r.entities[0].surrogate)
+        assert r.text.lower().endswith(".example.org") and r.text.split("@")[0] != old.split("@")[0] and r.text.isascii()
+
+
 def test_token_files(spark, docs, rows, none):
     path = scratch_path(spark, "tokens")
     tokenfiles.write_tokens(docs, path, BYTES)
