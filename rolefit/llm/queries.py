@@ -106,6 +106,30 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.merkle import altered_counts, manifest_proofs
+
+    return manifest_proofs(documents(spark, sf_dir), altered_counts())
+
+
+def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rolefit.llm.alignment import align_tokens
+
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = align_tokens(documents(spark, sf_dir).select("doc_id", "text"), *paths)
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op13_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rolefit.llm.sharding import shard_documents
+
+    return shard_documents(documents(spark, sf_dir), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op")} | {
         "pipeline": pipeline
