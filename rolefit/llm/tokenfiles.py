@@ -21,6 +21,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 # Any white space but blanks and newlines: texts with it, or with a special token, go as a whole.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+JOINED = re.compile(r"[ \n](?s:.*)[^ \n]").fullmatch
 STRETCH = re.compile(r"[ \n]*[^\W_]+|[ \n]*(?:[^\w \n]|_)+[^\W_]*|[ \n]+")
 
 
@@ -32,10 +33,14 @@ class TextEncoder:
     place to the next; its ids do not depend on its neighbours, so those seen before are known.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
+        self.remembered = remembered
         added = self.library.get_added_tokens_decoder().values()
         self.special = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        # A byte-level vocabulary has one character for every byte.
+        tokens = map(self.library.id_to_token, range(self.library.get_vocab_size()))
+        self.lengths = np.array([len(t) for t in tokens])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -43,6 +48,19 @@ class TextEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
+    def cut_apart(self, stretches: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of stretches that begin with white space and end otherwise, from one text of many.
+
+        The tokenizer cuts before their white space; the byte lengths of the tokens tell where.
+        """
+        for start in range(0, len(stretches), 2000):
+            part = stretches[start : start + 2000]
+            ids = self.plain(["".join(part)])[0]
+            ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+            stops = np.searchsorted(ends, np.cumsum([len(s.encode()) for s in part])) + 1
+            cuts = [0, *(4 * stops).tolist()]
+            yield from zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = lambda t: OTHER_SPACE.search(t) or self.special.search(t)
         cut = [None if odd(t) else STRETCH.findall(t) for t in texts]
@@ -57,8 +75,10 @@ class TextEncoder:
                 missing.append(stretch)
             else:
                 self.young[stretch] = ids
-        for start in range(0, len(missing), 2000):
-            part = missing[start : start + 2000]
+        self.young.update(self.cut_apart([s for s in missing if JOINED(s)]))
+        apart = [s for s in missing if not JOINED(s)]
+        for start in range(0, len(apart), 2000):
+            part = apart[start : start + 2000]
             self.young.update(zip(part, self.plain(part), strict=True))
         of = self.young.__getitem__
         ids = [
@@ -68,7 +88,7 @@ class TextEncoder:
         for stretch in missing:
             if len(stretch) > LONGEST_REMEMBERED:
                 del self.young[stretch]
-        if len(self.young) >= REMEMBERED:
+        if len(self.young) >= self.remembered:
             self.old, self.young = self.young, {}
         return ids
 
