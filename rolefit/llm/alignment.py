@@ -3,6 +3,7 @@
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ from rolefit.llm.common import stored, whole
 from rolefit.llm.tokenfiles import TextEncoder
 from rolefit.plans.joins import salted_join
 
-# UTF-8 bytes of texts whose windows are numbered together, and links a worker remembers.
+# UTF-8 bytes of texts whose windows are numbered together.
 CHUNK_BYTES = 8 << 20
-REMEMBERED_LINKS = 6_000_000
+# Windows, and stretches of text, that a worker remembers; tokens spelled at once.
+REMEMBERED = 300_000
+SPELLED = 1 << 18
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 SCORES = ("n_best", "count_sum")
 
@@ -42,7 +45,7 @@ class Aligner:
     """
 
     def __init__(self, tokenizer: str, model: str):
-        self.a = TextEncoder(tokenizer)
+        self.a = TextEncoder(tokenizer, REMEMBERED)
         self.a.library.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=model)
         alphabet = _byte_alphabet()
@@ -58,7 +61,12 @@ class Aligner:
             for i, p in enumerate(pieces)
         ]
         self.lengths_a, self.lengths_b = (np.array([len(t) for t in b]) for b in (self.bytes_a, self.bytes_b))
+        size = max(len(self.bytes_a), len(self.bytes_b))
+        self.decimals = np.array([[f"{i}{sign}" for i in range(size)] for sign in (",", "|", ";", "")], object)
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in b]) for b in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(b), np.uint8) for b in (self.bytes_a, self.bytes_b))
+        odd = np.random.default_rng(1).integers(0, 1 << 63, (2, 256), np.uint64, endpoint=False) * 2 + 1
+        self.odd_a, self.odd_b = odd
         self.forget()
 
     def forget(self) -> None:
@@ -68,70 +76,101 @@ class Aligner:
         self.links = array("q")
         self.ends = array("q", [0])
 
-    def _learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, "<u4").tolist() for k in key)
-        ends_a, ends_b = (np.cumsum(n[ids]).tolist() for n, ids in ((self.lengths_a, a), (self.lengths_b, b)))
-        groups, i, j, first_a, first_b = [], 0, 0, 0, 0
-        while i < len(a):
-            self.links.append(a[i] << 32 | b[j])
-            if ends_a[i] == ends_b[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        self.ends.append(len(self.links))
-        self.groups.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.known[key] = len(self.groups) - 1
-        return self.known[key]
+    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align windows that were not met before, side by side.
+
+        A link ends where one of its tokens does, so every distinct end has one; a group ends where both do.
+        """
+        ids_a, ids_b = (np.frombuffer(b"".join(k), "<u4").astype(np.int64) for k in zip(*keys, strict=True))
+        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
+        stops_a = np.cumsum([len(a) // 4 for a, _ in keys])
+        places = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, places), np.searchsorted(ends_b, places)
+        shared = places[(ends_a[at_a] == places) & (ends_b[at_b] == places)]
+        last = ends_a[stops_a - 1]
+        n_groups = np.diff(np.searchsorted(shared, last, "right"), prepend=0)
+
+        # Each group's tokens of A, then of B, each with the sign behind it.
+        side = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.concatenate([ids_a, ids_b])[order]
+        closing = np.append(side[1:] != side[:-1], True)
+        sign = np.where(closing, np.where(side % 2 == 0, 1, 2), 0)
+        stops = np.searchsorted(side, 2 * np.cumsum(n_groups) - 1, "right")
+        sign[stops - 1] = 3
+        signed = self.decimals[sign, ids].tolist()
+        base = self.ends[-1]
+        self.links.frombytes((ids_a[at_a] << 32 | ids_b[at_b]).tobytes())
+        self.ends.frombytes((base + np.searchsorted(places, last, "right")).astype(np.int64).tobytes())
+        self.known.update(zip(keys, range(len(self.groups), len(self.groups) + len(keys)), strict=True))
+        stops = stops.tolist()
+        self.groups += ["".join(signed[p:q]) for p, q in zip([0, *stops[:-1]], stops, strict=True)]
+        self.n_groups.frombytes(n_groups.astype(np.int64).tobytes())
 
     def align(self, texts: list[str]) -> list[tuple]:
         """``n_a, n_b, groups, windows`` of each text; None where its tokens do not give back its bytes."""
         spaced = [" " + t for t in texts]
-        all_a = [np.frombuffer(ids, "<u4") for ids in self.a.encode(spaced)]
-        all_b = [np.array(ids, "<u4") for ids in self.b.encode(texts, num_threads=1)]
-        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = []
-        for i, text in enumerate(spaced):
-            raw = text.encode()
-            if b"".join(map(of_a, all_a[i].tolist())) == raw == b"".join(map(of_b, all_b[i].tolist())):
-                good.append(i)
-        found: list = [None] * len(texts)
-        if not good:
-            return found
-        ids_a, ids_b = (np.concatenate([ids[i] for i in good]) for ids in (all_a, all_b))
+        raw = [t.encode() for t in spaced]
+        packed = self.a.encode(spaced)
+        listed = self.b.encode(texts, num_threads=1)
+        counts_a, counts_b = [len(p) // 4 for p in packed], [len(p) for p in listed]
+        ids_a = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        ids_b = np.fromiter(chain.from_iterable(listed), np.int64, sum(counts_b))
+        joined = b"".join(raw)
+        good = range(len(texts))
+        if not (_spell(ids_a, self.lengths_a, self.flat_a, joined) and _spell(ids_b, self.lengths_b, self.flat_b, joined)):
+            own_a, own_b = (np.split(i, np.cumsum(c)[:-1]) for i, c in ((ids_a, counts_a), (ids_b, counts_b)))
+            good = [
+                k
+                for k, own in enumerate(raw)
+                if _spell(own_a[k], self.lengths_a, self.flat_a, own) and _spell(own_b[k], self.lengths_b, self.flat_b, own)
+            ]
+            if not good:
+                return [None] * len(texts)
+            ids_a, ids_b = (np.concatenate([own[k] for k in good]) for own in (own_a, own_b))
+        # Two windows lie side by side only behind a verified end, so texts can follow each other here:
+        # behind the last token of one comes the first of the next, which begins with a blank in both.
         ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
         at_b = np.searchsorted(ends_b, ends_a)
         shared_a = np.flatnonzero(ends_b[at_b] == ends_a)
         shared_b = at_b[shared_a]
-        # Behind the last token of a text comes the first of the next one, which begins with a blank.
         anchor = np.ones(len(shared_a), bool)
         anchor[:-1] = self.spaced_a[ids_a[shared_a[:-1] + 1]] & self.spaced_b[ids_b[shared_b[:-1] + 1]]
-        last_a = np.cumsum([len(all_a[i]) for i in good])
         stops_a, stops_b = shared_a[anchor] + 1, shared_b[anchor] + 1
-        windows = self._numbers(ids_a.tobytes(), ids_b.tobytes(), stops_a, stops_b)
-        cuts = np.searchsorted(stops_a, last_a, "right")
-        named = self.groups
-        for i, start, stop in zip(good, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-            own = windows[start:stop]
-            found[i] = (len(all_a[i]), len(all_b[i]), ";".join([named[w] for w in own]), own)
+        windows = self._numbers(ids_a, ids_b, stops_a, stops_b)
+        cuts = np.searchsorted(stops_a, np.cumsum([counts_a[k] for k in good]), "right")
+        named = self.groups.__getitem__
+        found: list = [None] * len(texts)
+        for k, own in zip(good, np.split(windows, cuts[:-1]), strict=True):
+            found[k] = (counts_a[k], counts_b[k], ";".join(map(named, own.tolist())), own)
         return found
 
-    def _numbers(self, ids_a: bytes, ids_b: bytes, stops_a: np.ndarray, stops_b: np.ndarray) -> list[int]:
-        ta, tb = (4 * stops_a).tolist(), (4 * stops_b).tolist()
-        keys = [
-            (ids_a[p:q], ids_b[r:s]) for p, q, r, s in zip([0, *ta[:-1]], ta, [0, *tb[:-1]], tb, strict=True)
-        ]
-        windows = list(map(self.known.get, keys))
-        if None in windows:
-            for i, w in enumerate(windows):
-                if w is None:
-                    known = self.known.get(keys[i])
-                    windows[i] = self._learn(keys[i]) if known is None else known
-        return windows
+    def _numbers(self, ids_a: np.ndarray, ids_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> np.ndarray:
+        """The number of every window. Equal windows are found by a hash and compared id by id."""
+        sides = []
+        total = np.zeros(len(stops_a), np.uint64)
+        for ids, stops, odd in ((ids_a, stops_a, self.odd_a), (ids_b, stops_b, self.odd_b)):
+            starts = np.concatenate(([0], stops[:-1]))
+            sizes = stops - starts
+            place = np.arange(len(ids)) - np.repeat(starts, sizes)
+            total = total * np.uint64(0x9E3779B97F4A7C15) + np.add.reduceat((ids + 1).astype(np.uint64) * odd[place & 255], starts)
+            sides.append((ids, starts, sizes, place))
+        _, first, same = np.unique(total, return_index=True, return_inverse=True)
+        for ids, starts, sizes, place in sides:
+            like = first[same]
+            equal = np.array_equal(sizes, sizes[like])
+            if not (equal and np.array_equal(ids, ids[np.repeat(starts[like], sizes) + place])):
+                first = same = np.arange(len(total))
+                break
+        keys = []
+        for ids, starts, sizes, _ in sides:
+            raw = ids.astype("<u4").tobytes()
+            low = 4 * starts[first]
+            keys.append([raw[p:q] for p, q in zip(low.tolist(), (low + 4 * sizes[first]).tolist(), strict=True)])
+        pairs = list(zip(*keys, strict=True))
+        if new := [k for k in dict.fromkeys(pairs) if k not in self.known]:
+            self._learn(new)
+        return np.array([self.known[k] for k in pairs], np.int64)[same]
 
     def links_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Links of the given windows, one after the other, with their and the groups' number in each."""
@@ -141,6 +180,22 @@ class Aligner:
         return np.frombuffer(self.links, np.int64)[places], counts, np.frombuffer(self.n_groups, np.int64)[windows]
 
 
+def _spell(ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray, raw: bytes) -> bool:
+    """Whether the bytes of the tokens, one after the other, are ``raw``; block by block."""
+    if lengths[ids].sum() != len(raw):
+        return False
+    starts, done = np.cumsum(lengths) - lengths, 0
+    for block in range(0, len(ids), SPELLED):
+        own = ids[block : block + SPELLED]
+        sizes = lengths[own]
+        ends = np.cumsum(sizes)
+        spelled = flat[np.repeat(starts[own] - ends + sizes, sizes) + np.arange(ends[-1])]
+        if spelled.tobytes() != raw[done : done + len(spelled)]:
+            return False
+        done += len(spelled)
+    return True
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -184,28 +239,34 @@ def _windows(docs: DataFrame, tokenizer: str, model: str, keep_groups: bool, chu
     def chunk(own: Aligner, number: int, rows: list[pa.RecordBatch], found: list) -> pa.RecordBatch:
         kept = pa.Table.from_batches(rows).combine_chunks()
         lengths = np.array([0 if f is None else len(f[3]) for f in found], np.int64)
-        windows = np.array([w for f in found if f for w in f[3]], np.int64)
+        windows = np.concatenate([np.zeros(0, np.int64), *(f[3] for f in found if f)])
         distinct, local = np.unique(windows, return_inverse=True)
         links, counts, n_groups = own.links_of(distinct)
         pairs, link = np.unique(links, return_inverse=True)
         times = np.repeat(np.bincount(local, minlength=len(distinct)), counts)
         totals = np.bincount(link, weights=times, minlength=len(pairs)).astype(np.int64)
-        groups = ["" if f is None else f[2] for f in found]
         first = lambda values, kind: _lists([values, *[values[:0]] * (len(found) - 1)], kind)
         arrays = [kept.column(n).combine_chunks() for n in kept.schema.names if n != "_text"]
         arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
         arrays += [pa.array([0 if f is None else f[k] for f in found], pa.int64()) for k in (0, 1)]
         arrays += [pa.array(_segment_sums(v[local], lengths), pa.int64()) for v in (n_groups, counts)]
-        arrays.append(pa.array([g and hashlib.sha256(g.encode()).hexdigest() for g in groups]))
+        arrays.append(pa.array(["" if f is None else f[4] for f in found]))
         if keep_groups:
-            arrays.append(pa.array(groups))
+            arrays.append(pa.array(["" if f is None else f[2] for f in found]))
         arrays.append(pa.array([number] * len(found), pa.int64()))
         arrays.append(_lists(np.split(local, np.cumsum(lengths)[:-1]), pa.int32()))
         arrays += [first(counts, pa.int32()), first(link, pa.int32()), first(pairs, pa.int64()), first(totals, pa.int64())]
-        if len(own.links) > REMEMBERED_LINKS:
+        if len(own.groups) > REMEMBERED:
             own.forget()
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
+    def digested(one: tuple | None) -> tuple | None:
+        if one is None:
+            return None
+        n_a, n_b, groups, windows = one
+        digest = hashlib.sha256(groups.encode()).hexdigest()
+        return n_a, n_b, groups if keep_groups else None, windows.astype(np.int32), digest
+
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(tokenizer, model)
         number = TaskContext.get().partitionId() << 32
@@ -215,8 +276,8 @@ def _windows(docs: DataFrame, tokenizer: str, model: str, keep_groups: bool, chu
                 batch = large.slice(start, 200)
                 texts = batch.column("_text").to_pylist()
                 rows.append(batch.drop_columns(["_text"]) if batch.num_columns > 1 else batch)
-                aligned = iter(own.align([t for t in texts if t]))
-                found += [next(aligned) if t else None for t in texts]
+                aligned = iter(own.align([t for t in texts if t]) if any(texts) else ())
+                found += [digested(next(aligned)) if t else None for t in texts]
                 held += sum(map(len, texts))
                 if held >= chunk_bytes:
                     yield chunk(own, number, rows, found)
