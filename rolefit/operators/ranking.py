@@ -3,46 +3,70 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.session import ensure_checkpoint_dir
+from rolefit.plans.joins import sized_join
+from rolefit.plans.layout import stored
+
+# Rows of one job with one score that a single task may be given.
+CELL_ROWS = 200_000
 
 
 def _order():
     return [F.col("matching_score").desc_nulls_last(), F.col("candidate_id").asc()]
 
 
-def rank_candidates(scored: DataFrame) -> DataFrame:
+def rank_candidates(scored: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``scored`` with ``rank`` 1..n per job: score descending, no score last, then candidate id.
 
-    No job has a task of its own: whole rows are range-partitioned by job and rank order, so a large
-    job is spread over as many ranges as it fills. A row's rank is its position among the rows of its
-    job in its range, plus the job's rows in earlier ranges; of these counts there are a few more than
-    ranges and jobs. The checkpoint fixes the ranges, so that counts and positions read the same ones.
-    Rows without a job form one group; equal rows get ranks one after the other.
+    Scores have two decimals, so a job has about 10,001 of them at most: a cell is a job and a score.
+    Counting the cells tells how many candidates of the job stand before each, and a candidate's rank
+    is that and the position inside the cell. No task gets a whole job; a cell with more than
+    ``cell_rows`` rows, as for a score that a third of all candidates share, is cut by ranges of ids.
+    Scores with more decimals give more cells and the same ranks.
+
+    The input is computed once and written; cells are counted from its job, score and id columns.
+    Rows without a job form one group, rows without a score the last cell of their job; equal rows get
+    ranks one after the other. Names with an underscore are reserved.
     """
-    ensure_checkpoint_dir(scored.sparkSession)
-    placed = (
-        scored.repartitionByRange(F.col("job_id").asc_nulls_first(), *_order())
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
+    rows = stored(scored, "scored")
+    job, score, who = F.col("job_id"), F.col("matching_score"), F.col("candidate_id")
+    keyed = {
+        "_job": F.coalesce(job.cast("string"), F.lit("")),
+        "_unscored": score.isNull(),
+        "_score": F.coalesce(score, F.lit(0.0)),
+    }
+    cell = list(keyed)
+    cells = rows.withColumns(keyed).groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(who).cast("double").alias("_low"),
+        F.max(who).cast("double").alias("_high"),
     )
-    earlier = Window.partitionBy("job_id").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
+    cells = stored(cells, "score-cells")
+    crowded = cells.filter(F.col("_n") > cell_rows).withColumn("_pieces", F.ceil(F.col("_n") / cell_rows))
+    pieced = rows.withColumns(keyed)
+    if crowded.isEmpty():
+        pieced = pieced.withColumn("_piece", F.lit(0).cast("bigint"))
+        counted = cells.withColumn("_piece", F.lit(0).cast("bigint"))
+    else:
+        # At most rows / cell_rows of them.
+        pieced = sized_join(pieced, crowded.drop("_n"), cell, "left", "candidate_id")
+        place = (who.cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_pieces")
+        piece = F.when(F.col("_pieces").isNull() | who.isNull(), 0).otherwise(F.floor(place))
+        pieced = pieced.withColumn("_piece", piece.cast("bigint")).drop("_pieces", "_low", "_high")
+        counted = pieced.groupBy(*cell, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = (
+        Window.partitionBy("_job")
+        .orderBy("_unscored", F.col("_score").desc(), "_piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = (
-        placed.groupBy("job_id", "_range")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.col("job_id").alias("_job"),
-            F.col("_range").alias("_in"),
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"),
-        )
+    before = counted.select(
+        *cell, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("job_id", "_range").orderBy(*_order())
+    inside = Window.partitionBy(*cell, "_piece").orderBy(who.asc())
     return (
-        placed.withColumn("rank", F.row_number().over(inside))
-        .join(before, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_range") == F.col("_in")))
-        .withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
-        .drop("_range", "_job", "_in", "_before")
+        pieced.withColumn("_position", F.row_number().over(inside))
+        .join(before, [*cell, "_piece"])
+        .withColumn("rank", (F.col("_before") + F.col("_position")).cast("int"))
+        .select(*scored.columns, "rank")
     )
 
 

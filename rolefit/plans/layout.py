@@ -1,7 +1,9 @@
-"""Placement of rows before row-local work."""
+"""Placement of rows before row-local work, and results that later steps start from."""
 
 from pyspark.sql import DataFrame
 
+from rolefit.session import scratch_path
+
 
 def spread_small_scan(frame: DataFrame, key: str) -> DataFrame:
     """Use all cores on a scan that has fewer splits than the cluster has cores.
@@ -13,3 +15,11 @@ def spread_small_scan(frame: DataFrame, key: str) -> DataFrame:
     if frame.rdd.getNumPartitions() >= cores:
         return frame
     return frame.repartition(cores, key)
+
+
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: it is computed once, also after a lost task."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

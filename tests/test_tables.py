@@ -104,6 +104,7 @@ def test_ranking_across_tasks_equals_the_window(spark):
     order = Window.partitionBy("job_id").orderBy(F.col("matching_score").desc_nulls_last(), "candidate_id")
     plain = ranks(frame.withColumn("rank", F.row_number().over(order)))
     assert ranks(ranking.rank_candidates(frame)) == plain
+    assert ranks(ranking.rank_candidates(frame, cell_rows=40)) == plain
     for job in range(9):
         of_job = [r for j, r, _ in plain if j == job]
         assert of_job == list(range(1, len(of_job) + 1))
@@ -114,10 +115,34 @@ def test_ranking_across_tasks_equals_the_window(spark):
 def test_ranking_keeps_doubles_and_nulls(spark):
     rows = [(1, 1, 9.0), (1, 1, 9.0), (None, 1, 9.0), (2, 1, None), (3, None, 1.0), (4, None, 2.0)]
     frame = spark.createDataFrame(rows, "candidate_id long, job_id long, matching_score double")
-    ranked = [(r.candidate_id, r.job_id, r["rank"]) for r in ranking.rank_candidates(frame).collect()]
-    assert sorted(ranked, key=repr) == sorted(
-        [(None, 1, 1), (1, 1, 2), (1, 1, 3), (2, 1, 4), (4, None, 1), (3, None, 2)], key=repr
-    )
+    for cell_rows in (1, 200_000):
+        got = ranking.rank_candidates(frame, cell_rows).collect()
+        assert sorted(((r.candidate_id, r.job_id, r["rank"]) for r in got), key=repr) == sorted(
+            [(None, 1, 1), (1, 1, 2), (1, 1, 3), (2, 1, 4), (4, None, 1), (3, None, 2)], key=repr
+        )
+
+
+def test_a_crowded_score_is_cut(spark):
+    rows = [(c * c - 5_000_000, 1, 0.0) for c in range(5000)] + [(c, 1, 33.335 + c / 10**6) for c in range(50)]
+    frame = spark.createDataFrame(rows, "candidate_id long, job_id long, matching_score double")
+    ranked = ranking.rank_candidates(frame, cell_rows=300)
+    got = [r.candidate_id for r in ranked.orderBy("rank").collect()]
+    assert got == [*reversed(range(50)), *(c * c - 5_000_000 for c in range(5000))]
+    assert [r["rank"] for r in ranked.orderBy("rank").collect()] == list(range(1, 5051))
+
+
+def test_the_input_of_a_ranking_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    fields = "candidate_id long, job_id long, matching_score double"
+    frame = spark.createDataFrame([(c, c % 2, float(c % 7)) for c in range(100)], fields)
+    assert ranking.rank_candidates(frame.mapInPandas(counted, fields), cell_rows=5).count() == 100
+    assert seen.value == 100
 
 
 def test_the_score_written_first_counts(spark):
