@@ -38,12 +38,18 @@ def screen_prepared(
     stop_words: Iterable[str] | None = None,
     limit: int | None = None,
     semantic: DataFrame | None = None,
+    keep_unknown: bool = False,
 ) -> DataFrame:
-    """``screen_resumes`` for jobs that have been prepared."""
+    """``screen_resumes`` for jobs that have been prepared.
+
+    With ``keep_unknown``, résumés of other jobs are returned too, as they are in ``waiting`` and with
+    no score; ``waiting`` is NULL for the screened ones.
+    """
     paired = sized_join(
         resumes,
-        prepared.features,
+        prepared.features.withColumn("known", F.lit(True)) if keep_unknown else prepared.features,
         ["job_id"],
+        "left" if keep_unknown else "inner",
         spread="candidate_id",
         limit=limit,
         bound=prepared.bound,
@@ -57,6 +63,7 @@ def screen_prepared(
         resume_path(F.col("filename")).alias("resume_path"),
         is_blank(F.col("resume_text")).alias("blank"),
         "job_skills",
+        *([F.when(F.col("known").isNull(), F.struct(*resumes.columns)).alias("waiting")] if keep_unknown else []),
         *(column.alias(name) for name, column in profile.items()),
         *(column.alias(name) for name, column in pair_columns(stop_words).items()),
     )
@@ -67,7 +74,8 @@ def screen_prepared(
         parsed = parsed.join(semantic.select("candidate_id", "semantic"), "candidate_id", "left")
 
     def if_readable(column: Column) -> Column:
-        return F.when(~F.col("blank"), column)
+        readable = ~F.col("blank")
+        return F.when(readable & F.col("waiting").isNull() if keep_unknown else readable, column)
 
     return score_columns(
         parsed,
@@ -81,6 +89,7 @@ def screen_prepared(
         "job_id",
         "created_at",
         "job_title",
+        *(["waiting"] if keep_unknown else []),
         wrap=if_readable,
     )
 

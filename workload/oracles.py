@@ -283,12 +283,16 @@ def _by_status(shortlisted: str, rejected: str, without_skills: tuple[str, str])
     )
 
 
-OUTBOX = (
-    _with(*PROFILED, DECISIONS)
-    + f"""SELECT candidate_id, job_id, email, status,
+MAILS = f"""SELECT candidate_id, job_id, email, status,
   {_fill(notify.SUBJECT, notify.BODY_WITHOUT_SKILLS)} AS subject,
   {_by_status(notify.SHORTLISTED_BODY, notify.REJECTED_BODY, notify.BODY_WITHOUT_SKILLS)} AS body
 FROM decisions"""
+OUTBOX = _with(*PROFILED, DECISIONS) + MAILS
+SCREENED_TABLES = (
+    _with(*PROFILED, DECISIONS, f"outbox AS ({MAILS})")
+    + f"""SELECT c.* REPLACE ({MINUTES.replace('created_at,', 'c.created_at,')}), CAST(s.score_id AS VARCHAR) AS score_id,
+  s.matching_score, s.matched_skills, s.missing_skills, s.explanation, o.status, o.subject, o.body
+FROM candidates c LEFT JOIN scores s USING (candidate_id) LEFT JOIN outbox o USING (candidate_id)"""
 )
 
 ALL_PAIRS = (JOBS, "resumes AS (SELECT doc_id AS candidate_id, text AS resume_text FROM documents)")
@@ -602,5 +606,6 @@ FROM profiles""",
     + "SELECT candidate_id, job_id, email, status, "
     + _by_status(notify.SHORTLISTED_PROMPT, notify.REJECTED_PROMPT, notify.PROMPT_WITHOUT_SKILLS)
     + " AS prompt FROM decisions",
-    "screen_stream": OUTBOX,
+    "screen_stream": SCREENED_TABLES,
+    "screen_stream_late_jobs": SCREENED_TABLES,
 }

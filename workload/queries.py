@@ -437,6 +437,15 @@ def email_prompts(spark, d):
 # Streaming
 
 
+def _screened_tables(spark, target):
+    """Candidates, scores and outbox of a stream, side by side."""
+    key = ["candidate_id", "job_id"]
+    candidates, scores, outbox = (read_screened(spark, target, t) for t in ("candidates", "scores", "outbox"))
+    joined = _with_minute(candidates).join(scores.drop("created_at"), key, "left")
+    joined = joined.join(outbox.drop("email"), key, "left")
+    return joined.withColumn("score_id", F.col("score_id").cast("string"))
+
+
 def screen_stream(spark, d):
     root = scratch_path(spark, "stream")
     st.resumes(spark, d).write.parquet(f"{root}/arrivals")
@@ -449,7 +458,27 @@ def screen_stream(spark, d):
         f"{root}/progress",
         files_per_batch=4,
     ).awaitTermination()
-    return read_screened(spark, f"{root}/screened", "outbox")
+    return _screened_tables(spark, f"{root}/screened")
+
+
+def screen_stream_late_jobs(spark, d):
+    """Half of the jobs come after the résumés; a last run with a fresh progress folder adds nothing."""
+    root = scratch_path(spark, "late")
+    jobs = st.jobs(spark, d)
+    st.resumes(spark, d).write.parquet(f"{root}/arrivals")
+    for half, progress in ((0, "progress"), (1, "progress"), (None, "fresh")):
+        if half is not None:
+            jobs.filter(F.col("job_id") % 2 == half).write.mode("append").parquet(f"{root}/jobs")
+        start_screening(
+            spark,
+            f"{root}/arrivals",
+            None,
+            st.vocabulary(spark, d),
+            f"{root}/screened",
+            f"{root}/{progress}",
+            jobs_source=f"{root}/jobs",
+        ).awaitTermination()
+    return _screened_tables(spark, f"{root}/screened")
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
@@ -463,7 +492,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     candidate_profiles, first_score, candidates_for_job, delete_jobs, delete_candidates,
     processed_counts, candidate_counts, rank_candidates, top_k_candidates, list_jobs,
     latest_job_candidates, report_status, score_band, candidate_report, notification_decisions,
-    notification_outbox, email_prompts, screen_stream,
+    notification_outbox, email_prompts, screen_stream, screen_stream_late_jobs,
 )
 
 
