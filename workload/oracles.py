@@ -410,6 +410,14 @@ def _skill_pattern(skill: str) -> str:
     return f"concat('(^|[^a-z0-9])', {escaped}, '($|[^a-z0-9])')"
 
 
+MEMBERS = """WITH packed AS (
+  SELECT concat('batch-', doc_id // 10, '.zip') AS archive, text AS content,
+    CASE doc_id % 5 WHEN 2 THEN concat('CV', doc_id, '.PDF')
+      ELSE concat(lang, '/cv', doc_id, '.pdf') END AS entry
+  FROM documents WHERE doc_id % 5 NOT IN (3, 4))
+SELECT archive, entry, string_split(entry, '/')[-1] AS member, content,
+  CAST(NULL AS VARCHAR) AS error FROM packed"""
+
 ORACLES: dict[str, str] = {
     "classify_files": """WITH uploads AS (
   SELECT concat('in/', lang, '/', source, '-', doc_id, CASE doc_id % 4 WHEN 0 THEN '.pdf'
@@ -417,13 +425,24 @@ ORACLES: dict[str, str] = {
 SELECT path, string_split(path, '/')[-1] AS name,
   CASE WHEN lower(path) LIKE '%.zip' THEN 'archive' ELSE 'document' END AS kind
 FROM uploads WHERE lower(path) LIKE '%.zip' OR lower(path) LIKE '%.pdf'""",
-    "expand_archives": """WITH packed AS (
-  SELECT concat('batch-', doc_id // 10, '.zip') AS archive, text AS content,
-    CASE doc_id % 5 WHEN 2 THEN concat('CV', doc_id, '.PDF')
-      ELSE concat(lang, '/cv', doc_id, '.pdf') END AS entry
-  FROM documents WHERE doc_id % 5 NOT IN (3, 4))
-SELECT archive, entry, string_split(entry, '/')[-1] AS member, content,
-  CAST(NULL AS VARCHAR) AS error FROM packed""",
+    "expand_archives": MEMBERS,
+    "expand_stored_archives": MEMBERS,
+    "ingest_resumes": """WITH counted AS (SELECT count(*) AS n FROM benchmark),
+texts AS (
+  SELECT doc_id, lang, source, CASE WHEN doc_id % 50 = 49 THEN '' ELSE coalesce(text, '') END AS text,
+    CAST(length(text) // 2 AS BIGINT) AS half FROM documents),
+ended AS (
+  SELECT *, CASE WHEN text = '' THEN '' ELSE text || chr(10) END AS page,
+    CASE WHEN text[:half] = '' THEN '' ELSE text[:half] || chr(10) END AS page_1,
+    CASE WHEN text[half + 1:] = '' THEN '' ELSE text[half + 1:] || chr(10) END AS page_2 FROM texts)
+SELECT doc_id % n AS job_id, concat(source, '-', doc_id, CASE doc_id % 4 WHEN 0 THEN '.pdf' ELSE '.PDF' END) AS filename,
+  page_1 || page_2 AS resume_text,
+  strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M') AS created_at
+FROM ended, counted WHERE doc_id % 4 < 2
+UNION ALL
+SELECT (doc_id // 10) % n, CASE doc_id % 5 WHEN 2 THEN concat('CV', doc_id, '.PDF') ELSE concat('cv', doc_id, '.pdf') END,
+  page, strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id // 10), '%Y-%m-%d %H:%M')
+FROM ended, counted WHERE doc_id % 5 < 3""",
     "assemble_text": """SELECT conv_id AS doc_id,
   coalesce(string_agg(concat(text, chr(10)), '' ORDER BY turn) FILTER (WHERE text <> ''), '')
     AS text

@@ -15,7 +15,7 @@ from rolefit.operators.skills import explode_skills as explode_tags
 from rolefit.operators.skills import extract_skills as skills_of
 from rolefit.plans.screening import screen_resumes
 from rolefit.session import configure, scratch_path
-from rolefit.sources import exports, files, tables
+from rolefit.sources import archives, exports, files, ingest, tables
 from rolefit.streaming.screen import read_screened
 from rolefit.streaming.screen import screen_stream as start_screening
 from workload import standins as st
@@ -45,6 +45,27 @@ def expand_archives(spark, d):
     )
 
 
+def expand_stored_archives(spark, d):
+    members = archives.expand_stored_archives(st.stored_archives(spark, d))
+    return members.select(
+        files.basename(F.col("archive")).alias("archive"),
+        "entry",
+        "member",
+        F.decode("content", "UTF-8").alias("content"),
+        "error",
+    )
+
+
+def ingest_resumes(spark, d):
+    """Half of the uploads, then all, then all once more: the last adds nothing."""
+    root = scratch_path(spark, "ingested")
+    uploads, pages = st.uploads(spark, d), st.upload_pages(spark, d)
+    members = files.expand_archives(st.archives(spark, d))
+    for part in (uploads.filter(F.col("job_id") % 2 == 0), uploads, uploads):
+        taken = ingest.take_in(spark, part, members, pages, root)
+    return _with_minute(taken.drop("candidate_id"))
+
+
 def assemble_text(spark, d):
     return files.assemble_text(st.pages(spark, d))
 
@@ -482,7 +503,7 @@ def screen_stream_late_jobs(spark, d):
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    classify_files, expand_archives, assemble_text, write_and_read_table, export_csv,
+    classify_files, expand_archives, expand_stored_archives, ingest_resumes, assemble_text, write_and_read_table, export_csv,
     extract_email, extract_phone, extract_experience_years, experience_level,
     extract_labelled_name, title_case, name_from_filename, resolve_name, fill_contact_defaults,
     parse_profiles, split_skills, explode_skills, format_experience, extract_skills,

@@ -13,8 +13,9 @@ from rolefit.operators.lookups import candidate_profiles
 from rolefit.operators.profiles import parse_profiles
 from rolefit.operators.scoring import score_candidates
 from rolefit.operators.similarity import semantic_similarity
-from rolefit.plans.layout import spread_small_scan
+from rolefit.plans.layout import spread_small_scan, stored
 from rolefit.plans.screening import screen_resumes
+from rolefit.session import scratch_path
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -166,6 +167,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(_upload_path().alias("path"))
+
+
+def _upload_path() -> Column:
     doc_id = F.col("doc_id")
     suffix = (
         F.when(doc_id % 4 == 0, ".pdf")
@@ -173,10 +178,21 @@ def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc_id % 4 == 2, ".Zip")
         .otherwise(".docx")
     )
-    return table(spark, sf_dir, "documents").select(
-        F.concat(
-            F.lit("in/"), "lang", F.lit("/"), "source", F.lit("-"), doc_id.cast("string"), suffix
-        ).alias("path")
+    return F.concat(F.lit("in/"), "lang", F.lit("/"), "source", F.lit("-"), doc_id.cast("string"), suffix)
+
+
+def _archive_path() -> Column:
+    return F.concat(F.lit("batch-"), F.floor(F.col("doc_id") / 10).cast("string"), F.lit(".zip"))
+
+
+def _archive_entry() -> Column:
+    doc_id = F.col("doc_id")
+    id_text = doc_id.cast("string")
+    return (
+        F.when(doc_id % 5 == 3, F.concat(F.lit("__MACOSX/cv"), id_text, F.lit(".pdf")))
+        .when(doc_id % 5 == 4, F.concat(F.lit("notes/"), id_text, F.lit(".txt")))
+        .when(doc_id % 5 == 2, F.concat(F.lit("CV"), id_text, F.lit(".PDF")))
+        .otherwise(F.concat(F.col("lang"), F.lit("/cv"), id_text, F.lit(".pdf")))
     )
 
 
@@ -198,21 +214,11 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
                         archive.writestr(member["entry"], member["text"])
                 yield pandas.DataFrame({"path": [path], "content": [held.getvalue()]})
 
-    doc_id = F.col("doc_id")
-    id_text = doc_id.cast("string")
-    entry = (
-        F.when(doc_id % 5 == 3, F.concat(F.lit("__MACOSX/cv"), id_text, F.lit(".pdf")))
-        .when(doc_id % 5 == 4, F.concat(F.lit("notes/"), id_text, F.lit(".txt")))
-        .when(doc_id % 5 == 2, F.concat(F.lit("CV"), id_text, F.lit(".PDF")))
-        .otherwise(F.concat(F.col("lang"), F.lit("/cv"), id_text, F.lit(".pdf")))
-    )
     return (
         table(spark, sf_dir, "documents")
         .select(
-            F.concat(
-                F.lit("batch-"), F.floor(doc_id / 10).cast("string"), F.lit(".zip")
-            ).alias("path"),
-            F.struct(entry.alias("entry"), "text").alias("member"),
+            _archive_path().alias("path"),
+            F.struct(_archive_entry().alias("entry"), "text").alias("member"),
         )
         .groupBy("path")
         .agg(F.sort_array(F.collect_list("member")).alias("members"))
@@ -220,6 +226,65 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives as files in the shared folder, by path."""
+    root = scratch_path(spark, "archives")
+
+    def write(batches):
+        import os
+        from urllib.parse import unquote, urlparse
+
+        import pandas
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                parsed = urlparse(path)
+                if parsed.scheme in ("", "file"):
+                    local = unquote(parsed.path) if parsed.scheme else path
+                    os.makedirs(os.path.dirname(local), exist_ok=True)
+                    with open(local, "wb") as held:
+                        held.write(content)
+                else:
+                    from pyarrow import fs
+
+                    store, inside = fs.FileSystem.from_uri(path)
+                    with store.open_output_stream(inside) as held:
+                        held.write(content)
+            yield pandas.DataFrame({"path": batch["path"]})
+
+    named = archives(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{root}/"), "path"))
+    return stored(named.mapInPandas(write, "path string"), "archive-paths")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they came, each for a job: single documents, other files, and the archives."""
+    n = n_jobs(spark, sf_dir)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    doc_id = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint")
+    paths = upload_names(spark, sf_dir).filter("NOT path LIKE '%.Zip'")
+    paths = paths.unionByName(archives(spark, sf_dir).select("path"))
+    return paths.select(
+        "path",
+        (doc_id % n).alias("job_id"),
+        (start + F.make_dt_interval(mins=doc_id.cast("int"))).alias("created_at"),
+    )
+
+
+def upload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts of the uploaded documents: two of a single one, one of an archive's member."""
+    doc_id, half = F.col("doc_id"), F.floor(F.length("text") / 2).cast("int")
+    documents = table(spark, sf_dir, "documents").filter(doc_id % 50 != 49)
+    direct = documents.filter(doc_id % 4 < 2).select(
+        _upload_path().alias("path"),
+        F.lit(None).cast("string").alias("entry"),
+        F.posexplode(F.array(F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text")))).alias("page_no", "text"),
+    )
+    inside = documents.select(
+        _archive_path().alias("path"), _archive_entry().alias("entry"), F.lit(0).alias("page_no"), "text"
+    )
+    return direct.unionByName(inside)
+
+
 def resume_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector that is not a job's; it is sent to the job at the head of its block of 25."""
     vec_id = F.col("vec_id")
