@@ -31,16 +31,11 @@ WITH docs AS (
   FROM lines WHERE regexp_matches(line, '{WORD}')
 ), duplicates AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id
-), marks AS (
-  SELECT host, t, list_sort(list(DISTINCT md5(key))) AS keys, keys[1] AS mark FROM worded GROUP BY host, t
 ), hosts AS (
-  SELECT host, count(DISTINCT mark) AS n FROM marks GROUP BY host
+  SELECT host, count(DISTINCT t) AS n FROM worded GROUP BY host
 ), common AS (
   SELECT host, key FROM (
-    SELECT host, key, count(DISTINCT other) AS n FROM (
-      SELECT host, key, coalesce(CASE WHEN md5(key) = mark THEN keys[2] ELSE mark END, '') AS other
-      FROM worded JOIN marks USING (host, t)
-    ) GROUP BY host, key
+    SELECT host, key, count(DISTINCT t) AS n FROM worded GROUP BY host, key
   ) AS c JOIN hosts USING (host) WHERE c.n >= 30 AND c.n * 100 > hosts.n * 5
 ), removed AS (
   SELECT doc_id, sum(n) AS n FROM worded JOIN common USING (host, key) GROUP BY doc_id

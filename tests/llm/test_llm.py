@@ -6,13 +6,15 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rolefit.llm import jaccardjoin, linededup, mixing, quality, spotsigs, suffixdedup, surrogates, tokenfiles
+from rolefit.llm import jaccardjoin, linededup, mixing, oracles, quality, spotsigs, suffixdedup, surrogates, tokenfiles
 from rolefit.llm.maxent import score_texts
 from rolefit.llm.piecebpe import PieceEncoder, digests, encode_pieces
 from rolefit.llm.suffixes import suffix_array
@@ -311,7 +313,12 @@ def test_template_pages(spark):
     rows += [(1000 + i, "\n".join([*template, word() + " " + word()]), "own") for i in range(400)]
     rows += [(2000 + i, "\n".join(" ".join(word() for _ in range(8)) for _ in range(5)), h) for h in ("digits", "own") for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for r in quality.quality_rules(frame).collect():
+    got = quality.quality_rules(frame).collect()
+    with duckdb.connect() as base:
+        base.register("documents", frame.withColumn("lang", F.lit(None).cast("string")).toPandas())
+        stated = {r[0]: r[1:] for r in base.execute(f"SELECT doc_id, kept, n_common_words FROM ({oracles.QUALITY})").fetchall()}
+    assert stated == {r.doc_id: (r.kept, r.n_common_words) for r in got}
+    for r in got:
         assert not r.base_failed
         assert r.kept == (r.doc_id >= 2000), r
         assert r.n_common_words == (450 if r.source == "digits" else 400) * (r.doc_id < 2000)
