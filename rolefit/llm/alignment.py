@@ -21,8 +21,11 @@ from rolefit.plans.joins import salted_join
 # UTF-8 bytes of texts whose windows are numbered together.
 CHUNK_BYTES = 8 << 20
 # Windows, and stretches of text, that a worker remembers; tokens spelled at once.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
+REMEMBERED_STRETCHES = 200_000
 SPELLED = 1 << 18
+# Rows encoded at once: what they share is met once.
+SLICE_ROWS = 600
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 SCORES = ("n_best", "count_sum")
 
@@ -45,7 +48,7 @@ class Aligner:
     """
 
     def __init__(self, tokenizer: str, model: str):
-        self.a = TextEncoder(tokenizer, REMEMBERED)
+        self.a = TextEncoder(tokenizer, REMEMBERED_STRETCHES)
         self.a.library.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=model)
         alphabet = _byte_alphabet()
@@ -65,8 +68,9 @@ class Aligner:
         self.decimals = np.array([[f"{i}{sign}" for i in range(size)] for sign in (",", "|", ";", "")], object)
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in b]) for b in (self.bytes_a, self.bytes_b))
         self.flat_a, self.flat_b = (np.frombuffer(b"".join(b), np.uint8) for b in (self.bytes_a, self.bytes_b))
-        odd = np.random.default_rng(1).integers(0, 1 << 63, (2, 256), np.uint64, endpoint=False) * 2 + 1
-        self.odd_a, self.odd_b = odd
+        # Odd numbers have an inverse modulo 2 ** 64.
+        self.bases = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+        self.powers: dict[int, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -146,24 +150,29 @@ class Aligner:
         return found
 
     def _numbers(self, ids_a: np.ndarray, ids_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> np.ndarray:
-        """The number of every window. Equal windows are found by a hash and compared id by id."""
+        """The number of every window. Equal windows are found by a hash and compared id by id.
+
+        The hash of ids i, j, k … is i + j * b + k * b ** 2 …, from running sums over all ids: those
+        of a window are its sum divided by the power at its start.
+        """
         sides = []
         total = np.zeros(len(stops_a), np.uint64)
-        for ids, stops, odd in ((ids_a, stops_a, self.odd_a), (ids_b, stops_b, self.odd_b)):
+        for ids, stops, base in ((ids_a, stops_a, self.bases[0]), (ids_b, stops_b, self.bases[1])):
             starts = np.concatenate(([0], stops[:-1]))
-            sizes = stops - starts
-            place = np.arange(len(ids)) - np.repeat(starts, sizes)
-            total = total * np.uint64(0x9E3779B97F4A7C15) + np.add.reduceat((ids + 1).astype(np.uint64) * odd[place & 255], starts)
-            sides.append((ids, starts, sizes, place))
+            powers, inverse = (self._powers(b, len(ids)) for b in (base, pow(base, -1, 1 << 64)))
+            sums = np.cumsum((ids + 1).astype(np.uint64) * powers[: len(ids)])
+            own = np.diff(sums[stops - 1], prepend=np.uint64(0)) * inverse[starts]
+            total = total * np.uint64(0x9E3779B97F4A7C15) + own
+            sides.append((ids, starts, stops - starts))
         _, first, same = np.unique(total, return_index=True, return_inverse=True)
-        for ids, starts, sizes, place in sides:
-            like = first[same]
+        like = first[same]
+        for ids, starts, sizes in sides:
             equal = np.array_equal(sizes, sizes[like])
-            if not (equal and np.array_equal(ids, ids[np.repeat(starts[like], sizes) + place])):
+            if not (equal and np.array_equal(ids, ids[np.arange(len(ids)) + np.repeat(starts[like] - starts, sizes)])):
                 first = same = np.arange(len(total))
                 break
         keys = []
-        for ids, starts, sizes, _ in sides:
+        for ids, starts, sizes in sides:
             raw = ids.astype("<u4").tobytes()
             low = 4 * starts[first]
             keys.append([raw[p:q] for p, q in zip(low.tolist(), (low + 4 * sizes[first]).tolist(), strict=True)])
@@ -172,6 +181,17 @@ class Aligner:
             self._learn(new)
         return np.array([self.known[k] for k in pairs], np.int64)[same]
 
+    def _powers(self, base: int, size: int) -> np.ndarray:
+        """Powers of ``base`` from 0 on, modulo 2 ** 64; those for usual batches are kept."""
+        known = self.powers.get(base)
+        if known is None or len(known) < size:
+            known = np.full(max(size, 1 << 18), base, np.uint64)
+            known[0] = 1
+            known = np.cumprod(known)
+            if len(known) <= 1 << 20:
+                self.powers[base] = known
+        return known
+
     def links_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Links of the given windows, one after the other, with their and the groups' number in each."""
         ends = np.frombuffer(self.ends, np.int64)
@@ -272,8 +292,8 @@ def _windows(docs: DataFrame, tokenizer: str, model: str, keep_groups: bool, chu
         number = TaskContext.get().partitionId() << 32
         rows, found, held = [], [], 0
         for large in batches:
-            for start in range(0, large.num_rows, 200):
-                batch = large.slice(start, 200)
+            for start in range(0, large.num_rows, SLICE_ROWS):
+                batch = large.slice(start, SLICE_ROWS)
                 texts = batch.column("_text").to_pylist()
                 rows.append(batch.drop_columns(["_text"]) if batch.num_columns > 1 else batch)
                 aligned = iter(own.align([t for t in texts if t]) if any(texts) else ())
