@@ -67,7 +67,8 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode),
 ]
 
-# Subword encoding has no counterpart in SQL; tests compare run() with a brute-force version.
+# Subword encoding has no counterpart in SQL. Tests compare the last stage with the library, and each of
+# the others in the test of its operator; run() as a whole has no brute-force version yet.
 ORACLE_SQL = None
 
 
