@@ -178,28 +178,28 @@ def line_dedup(
     runs = least_runs(segments, doc, min_words)
     deleted = deleted_lines(repeated_intervals(ranks, runs, doc), doc)
     sizes = lines.groupBy(*doc).agg(F.count(F.lit(1)).alias("n_lines"))
-    marked = stored(sizes.join(deleted, doc, "left"), "deleted")
-    joined = docs.drop("clean_text", "n_lines", "n_deleted").join(marked, doc, "left")
+    marked = stored(sizes.join(deleted.withColumnRenamed("deleted", "_deleted"), doc, "left"), "deleted")
+    joined = docs.drop("clean_text", "n_lines", "n_deleted", "n_runs").join(marked, doc, "left")
     return _without_lines(joined, text).drop(*doc)
 
 
 def _without_lines(joined: DataFrame, text: str) -> DataFrame:
     """Rebuild the texts that lose lines from the lines that stay."""
-    changed = F.col("deleted").isNotNull()
+    changed = F.col("_deleted").isNotNull()
     joined = joined.withColumn("_parts", F.when(changed, F.split(text, "\n")))
     stay = F.array_except(
-        F.sequence(F.lit(0), F.size("_parts") - 1), F.transform("deleted", lambda p: p["at"])
+        F.sequence(F.lit(0), F.size("_parts") - 1), F.transform("_deleted", lambda p: p["at"])
     )
     kept = F.transform(stay, lambda i: F.get("_parts", i))
     starts = F.filter(
-        "deleted",
-        lambda p, i: F.coalesce(F.get("deleted", i - 1)["pos"] != p["pos"] - 1, F.lit(True)),
+        "_deleted",
+        lambda p, i: F.coalesce(F.get("_deleted", i - 1)["pos"] != p["pos"] - 1, F.lit(True)),
     )
     return joined.withColumns(
         {
             "clean_text": F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text)),
             "n_lines": F.coalesce("n_lines", F.lit(0)).cast("bigint"),
-            "n_deleted": F.when(changed, F.size("deleted")).otherwise(0).cast("bigint"),
+            "n_deleted": F.when(changed, F.size("_deleted")).otherwise(0).cast("bigint"),
             "n_runs": F.when(changed, F.size(starts)).otherwise(0).cast("bigint"),
         }
-    ).drop("deleted", "_parts")
+    ).drop("_deleted", "_parts")
