@@ -101,6 +101,12 @@ def common_lines(documents: DataFrame, min_documents: int, max_percent: int) ->
     )
 
 
+ADDED = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words",
+    "kept", "clean_text",
+)
+
+
 def quality_rules(
     docs: DataFrame,
     text: str = "text",
@@ -118,10 +124,11 @@ def quality_rules(
 
     A line's documents are counted per host: texts that are equal count once, all others, near copies
     too, count each. Null hosts form one host. A null text is empty: no words, base_failed. Repeated rows, null ids and other columns are kept as they are; an empty
-    table gives an empty result. Columns whose names begin with an underscore are reserved.
+    table gives an empty result. Columns named like the added ones are replaced, names that begin with
+    an underscore are reserved.
     """
     wide = (
-        with_statistics(docs, text)
+        with_statistics(docs.drop(*ADDED), text)
         .withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
         .withColumn("_text_key", F.md5(whole(text)))
         .withColumn(
