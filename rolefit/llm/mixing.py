@@ -105,8 +105,10 @@ def mix_sources(
 
     A null source is a source of its own, after the others. A null or empty text has size 0 and gives
     nothing. Rows with equal ids are separate documents; equal rows may stand in either order.
-    An empty table gives an empty result. Other columns pass; names with an underscore are reserved.
+    An empty table gives an empty result. Columns named like the added ones are replaced, others pass;
+    names with an underscore are reserved.
     """
+    docs = docs.drop("source_size", "target", "taken", "passes")
     size = F.regexp_count(whole(text), F.lit(WORD)).cast("bigint")
     mixed = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     sized = docs.withColumns(
