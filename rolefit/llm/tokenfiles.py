@@ -147,7 +147,9 @@ def write_tokens(
     are delta encoded, token ids dictionary encoded; ``row_group_bytes`` and ``page_bytes`` bound row
     groups and pages, and the files carry page indexes, so a reader of a few documents, or of the
     counts only, reads those pages and columns only. ``path-index`` gets the first token of every
-    part, ``path-schema`` the columns, so that an empty table can be read too. An existing path is an error. Rows with equal ids are separate documents, side by side.
+    part, ``path-schema`` the columns, so that an empty table can be read too.
+    An existing path is an error. Rows with equal ids are separate documents, side by side. Columns named
+    ``ids``, ``n_tokens`` or ``part`` are replaced.
     """
     ranged = docs.repartitionByRange(id_column).sortWithinPartitions(id_column)
     encoded = encode_tokens(ranged, tokenizer, text).withColumn("part", F.spark_partition_id())
