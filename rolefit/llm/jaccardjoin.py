@@ -1,5 +1,6 @@
 """Exact n-gram Jaccard join: tiles by size with bitmaps that bound the overlap, then intersection."""
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,12 +16,17 @@ from rolefit.llm.shingles import mixed, shingle_sets
 LEAST, MOST = 75, 100
 # The most frequent shingles come last in the order of keys; so many are told to every task.
 FREQUENT = 1 << 16
-# Keys with more sets than this go through tiles of at most about TILE sets.
-PAIRED = 12
+# A tile takes at most about so many sets from either side.
 TILE = 2048
 # A tile that is intersected exactly takes at most about so many shingles from either side.
 TILE_SHINGLES = 1 << 21
 BATCH = 500
+# A set that is the first of more pairs meets its partners in several tasks.
+PARTNERS = 2048
+# Sets whose keys a task has already given are remembered up to this number.
+REMEMBERED = 1 << 17
+# Linked sets are at most one band of sizes apart; the margin outweighs rounding.
+BAND = math.log(MOST / LEAST + 1e-6)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -64,24 +70,23 @@ def frequent_shingles(docs: DataFrame, text: str, most: int = FREQUENT) -> np.nd
     return np.sort(top.view(np.uint64))
 
 
-def prefix_lengths(n: int) -> tuple[int, int]:
-    """How many of the first shingles are keys, and how many suffice against sets of its size and more.
+def prefix_length(n: int) -> int:
+    """How many of the first shingles are keys.
 
-    Linked sets share LEAST/MOST of the larger and 2*LEAST/(LEAST+MOST) of the smaller or more; so
-    they share one of the first shingles in any common order.
+    Linked sets share LEAST/MOST of the larger or more; so they share one of the first shingles in any
+    common order.
     """
-    return n - -(-LEAST * n // MOST) + 1, n - -(-2 * LEAST * n // (LEAST + MOST)) + 1
+    return n - -(-LEAST * n // MOST) + 1
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, by hash; four times the least power of two of bits that the set's size fits.
+    """One bit per hash value: whether an odd number of shingles has it; as many bits as shingles or up to twice.
 
-    The wider the bitmap, the fewer differences hide behind a shared bit, and the closer the bound.
+    Every shingle that two sets do not share flips one bit, so their bitmaps differ in no more bits than that.
     """
-    width = max(512, 4 << int(len(shingles) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(mixed(shingles) & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    width = max(128, 1 << int(len(shingles) - 1).bit_length())
+    counts = np.bincount((mixed(shingles) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def set_number(shingles: np.ndarray) -> int:
@@ -90,28 +95,37 @@ def set_number(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_column: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """``id, n, set_id, bits, keys, n_index`` of every document."""
+    """``id, n, set_id, bits, keys`` of every document.
+
+    A task gives the keys of a set with its first copy, and leaves them out of copies that it remembers.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in _batches(batches, BATCH):
-            rows = ([], [], [], [], [])
+            rows = ([], [], [], [])
             for s in shingle_sets(batch.column(1).to_pylist()):
                 n = len(s)
                 rows[0].append(n)
                 if not n:
-                    for r, empty in zip(rows[1:], (None, None, [], 0), strict=True):
+                    for r, empty in zip(rows[1:], (None, None, []), strict=True):
                         r.append(empty)
                     continue
-                rows[1].append(set_number(s))
+                number = set_number(s)
+                rows[1].append(number)
                 rows[2].append(bitmap(s))
-                probe, index = prefix_lengths(n)
+                if (number, n) in given:
+                    rows[3].append([])
+                    continue
+                if len(given) >= REMEMBERED:
+                    given.clear()
+                given.add((number, n))
                 at = np.searchsorted(frequent, s)
                 late = np.zeros(n, bool)
                 if len(frequent):
                     late = frequent[np.minimum(at, len(frequent) - 1)] == s
                 ordered = np.concatenate((s[~late], s[late])) if late.any() else s
-                rows[3].append(_signed(ordered[:probe]))
-                rows[4].append(index)
+                rows[3].append(_signed(ordered[: prefix_length(n)]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -119,13 +133,12 @@ def signatures(docs: DataFrame, id_column: str, text: str, frequent: np.ndarray)
                     pa.array(rows[1], pa.int64()),
                     pa.array(rows[2], pa.binary()),
                     pa.array(rows[3], pa.list_(pa.int64())),
-                    pa.array(rows[4], pa.int32()),
                 ],
-                names=["id", "n", "set_id", "bits", "keys", "n_index"],
+                names=["id", "n", "set_id", "bits", "keys"],
             )
 
     return docs.select(F.col(id_column).cast("long").alias("id"), text).mapInArrow(
-        signed, "id long, n long, set_id long, bits binary, keys array<long>, n_index int"
+        signed, "id long, n long, set_id long, bits binary, keys array<long>"
     )
 
 
@@ -162,47 +175,62 @@ def _sizes_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 
 
 PAIR = "a long, a_n long, b long, b_n long"
+SHARED = "key long, set_id long, n long, before long, before_n long, hub long, hub_n long"
 
 
-def paired_keys(rows: DataFrame) -> DataFrame:
-    """From ``key, set_id, n, idx``: pairs of the sets of a key, or its rows if there are many.
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """From ``key, set_id, n``: the rows of keys that several sets have, once each.
 
-    Returns ``key, a, a_n, b, b_n, idx``; ``b`` is null in rows of keys with more than PAIRED sets.
+    ``before`` is the set of the key that comes before in order of size and ``hub`` the key's first,
+    where their sizes allow a link. Rows are dealt by ranges of (key, n, set), so a key of any number
+    of sets is spread; a piece of a key has a hub of its own. The first and last key of a task may
+    go on in another one and are always kept.
     """
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["key"]):
-            key, sid, n, idx = (table.column(c).to_numpy() for c in ("key", "set_id", "n", "idx"))
-            once = _starts(key, n, sid)
-            key, sid, n, idx = key[once], sid[once], n[once], idx[once]
-            starts = _starts(key)
-            sizes = np.diff(np.append(starts, len(key)))
-            left, right = [], []
-            for g in range(2, PAIRED + 1):
-                of = starts[sizes == g]
-                if not len(of):
-                    continue
-                i, j = np.triu_indices(g, 1)
-                left.append((of[:, None] + i).ravel())
-                right.append((of[:, None] + j).ravel())
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                fits = _sizes_link(n[a], n[b]) & (idx[a] | ((n[a] == n[b]) & idx[b]))
-                a, b = a[fits], b[fits]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key[a], sid[a], n[a], sid[b], n[b], idx[a])],
-                    names=["key", "a", "a_n", "b", "b_n", "idx"],
-                )
-            large = np.repeat(sizes > PAIRED, sizes)
-            if large.any():
-                none = pa.nulls(int(large.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[large]), pa.array(sid[large]), pa.array(n[large]), none, none, pa.array(idx[large])],
-                    names=["key", "a", "a_n", "b", "b_n", "idx"],
-                )
-
-    ordered = rows.repartition("key").sortWithinPartitions("key", "n", "set_id")
-    return ordered.mapInArrow(paired, f"key long, {PAIR}, idx boolean")
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_again, hub, edge = None, False, None, None
+
+        def made(rows: np.ndarray, before: np.ndarray, hubs: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(c[keep]) for c in rows]
+            for other in (before, hubs):
+                fits = (other[1] > 0) & _sizes_link(other[1], rows[2]) & (other[0] != rows[1])
+                columns += [pa.array(c[keep], mask=~fits[keep]) for c in other]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SHARED.split(", ")])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "set_id", "n")])
+            edge = rows[0, 0] if edge is None else edge
+            if held is not None:
+                rows = np.concatenate((held, rows), axis=1)
+            rows = rows[:, _starts(*rows)]
+            k = rows.shape[1]
+            again = np.zeros(k, bool)
+            again[0] = held_again
+            again[1:] = rows[0, 1:] == rows[0, :-1]
+            before = np.zeros((2, k), np.int64)
+            before[:, 1:] = np.where(again[1:], rows[1:, :-1], 0)
+            first = np.maximum.accumulate(np.where(again, 0, np.arange(k)))
+            hubs = rows[1:, first]
+            if held_again:
+                hubs[:, rows[0] == rows[0, 0]] = hub[:, None]
+                before[:, 0] = last
+            hubs = np.where(again & (hubs[0] != before[0]), hubs, 0)
+            keep = again | np.append(again[1:], False) | (rows[0] == edge)
+            keep[-1] = False
+            if keep.any():
+                yield made(rows, before, hubs, keep)
+            # The last row waits for the next batch, which may go on with its key.
+            hub = (hub if held_again and first[-1] == 0 else rows[1:, first[-1]]) if again[-1] else rows[1:, -1]
+            last, held, held_again = before[:, -1], rows[:, -1:], bool(again[-1])
+        if held is not None:
+            hubs = hub[:, None] if held_again else np.zeros((2, 1), np.int64)
+            yield made(held, last[:, None], hubs, np.ones(1, bool))
+
+    ordered = rows.repartitionByRange("key", "n", "set_id").sortWithinPartitions("key", "n", "set_id")
+    return ordered.select("key", "set_id", "n").mapInArrow(found, SHARED)
 
 
 class Tile:
@@ -219,7 +247,7 @@ class Tile:
             words = np.frombuffer(b"".join([bits[i] for i in of]), np.uint64).reshape(len(of), -1)
             self.rows[w], self.bits[w] = of, words
             if w >= 16:
-                self.half[w] = words[:, : words.shape[1] // 2] | words[:, words.shape[1] // 2 :]
+                self.half[w] = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
             self.at[of] = np.arange(len(of))
 
     def linkable(self, i: int, others: np.ndarray) -> np.ndarray:
@@ -275,27 +303,6 @@ def _pairs(found: Iterator[tuple[int, int]], sid: np.ndarray, n: np.ndarray) ->
     return sid[i], n[i], sid[j], n[j]
 
 
-def _forest(sid: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Pairs that may be linked, only as many as connect what may be connected."""
-
-    def joined() -> Iterator[tuple[int, int]]:
-        tile = Tile(n, bits)
-        label, apart = np.arange(len(sid)), len(sid) - 1
-        for i in range(len(sid)):
-            if not apart:
-                return
-            stop = np.searchsorted(n, MOST * n[i] // LEAST, side="right")
-            others = np.arange(i + 1, stop)
-            others = others[(label[others] != label[i]) & (sid[others] != sid[i])]
-            for j in tile.linkable(i, others) if len(others) else ():
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    apart -= 1
-                    yield i, int(j)
-
-    return _pairs(joined(), sid, n)
-
-
 def _apart(tile: Tile, label: np.ndarray, sent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Every sent set with those of the tile that it may be linked with and whose label is another.
 
@@ -366,21 +373,31 @@ def shingles_of(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
 def _grid(rows: DataFrame) -> DataFrame:
     """``block, sent`` for rows ``key, main, set_id, n, label``; those outside the main component are also sent.
 
-    A tile takes a part of the sets of a key and a part of those sent, so neither side outgrows a task.
+    Sets are placed by key and band of sizes and sent to the bands around theirs; bands where nothing
+    sent meets another component go. A tile takes a part of the sets of a band and a part of those sent,
+    so neither side outgrows a task.
     """
-    out = F.col("label") != F.col("main")
+    own = rows.withColumn("band", F.floor(F.log("n") / BAND)).withColumn("sent", F.lit(False))
+    around = F.array(*(F.col("band") + d for d in (-1, 0, 1)))
+    sent = own.filter("label <> main").withColumn("band", F.explode(around)).withColumn("sent", F.lit(True))
+    both = own.unionByName(sent)
     parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.greatest(c / TILE, size / TILE_SHINGLES)))
-    sizes = rows.groupBy("key").agg(
-        parts(F.count(F.lit(1)), F.sum("n")).alias("down"),
-        parts(F.count_if(out), F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0))).alias("across"),
+    side = lambda is_sent: parts(
+        F.count_if(F.col("sent") == is_sent), F.coalesce(F.sum(F.when(F.col("sent") == is_sent, F.col("n"))), F.lit(0))
     )
-    rows = rows.join(sizes, "key")
+    sizes = both.groupBy("key", "band").agg(
+        side(False).alias("down"),
+        side(True).alias("across"),
+        (F.bool_or("sent") & ~F.bool_and("sent") & (F.min("label") < F.max("label"))).alias("meet"),
+    )
+    both = both.join(sizes.filter("meet").drop("meet"), ["key", "band"])
     part_of = lambda parts: F.pmod(F.xxhash64("set_id"), F.col(parts))
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    own = rows.withColumn("at", all_of("across")).withColumn("block", part_of("down") * F.col("across") + F.col("at"))
-    sent = rows.filter(out).withColumn("at", all_of("down"))
-    sent = sent.withColumn("block", F.col("at") * F.col("across") + part_of("across"))
-    both = own.withColumn("sent", F.lit(False)).unionByName(sent.withColumn("sent", F.lit(True)))
+    other = F.when(F.col("sent"), F.col("down")).otherwise(F.col("across"))
+    both = both.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    block = F.when(F.col("sent"), F.col("at") * F.col("across") + part_of("across")).otherwise(
+        part_of("down") * F.col("across") + F.col("at")
+    )
+    both = both.withColumn("block", F.col("band") * F.lit(1 << 40) + block)
     return both.select("key", "block", "main", "set_id", "n", "label", "sent")
 
 
@@ -395,31 +412,42 @@ def _represented(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``a, b``: ids of the representatives of pairs whose sets are similar enough, by intersection."""
-    named = _represented(pairs, classes).select(F.col("a").alias("a_rep"), F.col("b").alias("b_rep"))
-    named = stored(named, "pairs")
-    needed = named.select(F.col("a_rep").alias("rep")).union(named.select("b_rep")).distinct()
+    """Those of the pairs of sets ``a, a_n, b, b_n`` that are similar enough, by intersection.
+
+    The text of ``a`` is sent once for up to PARTNERS of its pairs, that of ``b`` once per pair.
+    """
+    sides = pairs.select(F.col("a").alias("set_id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n"))
+    needed = classes.select("rep", "set_id", "n").join(sides.distinct(), ["set_id", "n"])
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stored(texts.join(needed, "rep"), "texts")
-    left = texts.select(F.col("rep").alias("a_rep"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("rep").alias("b_rep"), F.col("text").alias("b_text"))
-    both = named.join(left, "a_rep").join(right, "b_rep")
+    texts = stored(texts.join(needed, "rep").select("set_id", "n", "text"), "texts")
+    parts = pairs.groupBy("a", "a_n").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    of_a = texts.select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), "text").join(parts, ["a", "a_n"])
+    none = F.lit(None).cast("long")
+    firsts = of_a.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        "a", "a_n", "part", none.alias("b"), none.alias("b_n"), "text"
+    )
+    of_b = texts.select(F.col("set_id").alias("b"), F.col("n").alias("b_n"), "text")
+    dealt = pairs.join(parts, ["a", "a_n"]).withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
+    seconds = dealt.join(of_b, ["b", "b_n"]).select("a", "a_n", "part", "b", "b_n", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 100):
-            texts = batch.column("a_text").to_pylist() + batch.column("b_text").to_pylist()
-            once = [*dict.fromkeys(texts)]
-            sets = dict(zip(once, shingle_sets(once), strict=True))
-            k, keep = batch.num_rows, []
-            for x, y in zip(texts[:k], texts[k:], strict=True):
-                x, y = sets[x], sets[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(MOST * both >= LEAST * (len(x) + len(y) - both))
-            kept = batch.select(["a", "b"]).filter(pa.array(keep))
-            yield kept
-
-    both = both.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_text", "b_text")
-    return both.mapInArrow(compared, "a long, b long").distinct()
+        first, of = None, None
+        for batch in _batches(batches, BATCH):
+            a, a_n, b, b_n = (batch.column(c).to_pylist() for c in ("a", "a_n", "b", "b_n"))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, s in enumerate(shingle_sets(batch.column("text").to_pylist())):
+                # Another row with the id of a representative may have another text.
+                if (set_number(s), len(s)) != ((a[i], a_n[i]) if b[i] is None else (b[i], b_n[i])):
+                    continue
+                if b[i] is None:
+                    first, of = s, (a[i], a_n[i])
+                elif of == (a[i], a_n[i]):
+                    both = len(np.intersect1d(first, s, assume_unique=True))
+                    keep[i] = MOST * both >= LEAST * (len(first) + len(s) - both)
+            yield batch.select(["a", "a_n", "b", "b_n"]).filter(pa.array(keep))
+
+    placed = firsts.union(seconds).repartition("a", "a_n", "part").sortWithinPartitions("a", "a_n", "part", "b")
+    return placed.mapInArrow(compared, PAIR).distinct()
 
 
 def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -437,11 +465,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     are linked from a similarity of LEAST/MOST on; ``component_id`` is the least id reachable.
 
     Equal sets form one class. Sets that share one of their first shingles, frequent ones last, are
-    compared: pairs of small keys one by one, large keys in tiles. There bitmaps bound the overlap
-    from above. A first pass names as many pairs as connect a tile and counts the shared shingles of each;
-    a second takes all sets that may still be linked with one of another component and intersects them
-    tile by tile, handing on only links that join components. So none of those is lost; shingles are
-    told apart by 64-bit hashes.
+    compared, in two passes. In the first, every set meets at most one set: of those that come right before
+    it or first in one of its keys, the one whose bitmap allows the most. The second takes the keys whose
+    sets are still in several components: tiles by band of sizes, where bitmaps bound the overlap
+    from above, name all sets that may be linked with one of another component, and these are
+    intersected tile by tile, handing on only links that join components. So none of those is lost;
+    shingles are told apart by 64-bit hashes.
 
     A null or empty text, or one without words, has no shingles and is its own component. Rows with
     a null id have a null component and link nothing. Rows with equal ids count as one document
@@ -454,38 +483,22 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     classes = stored(
         linked.groupBy("set_id", "n").agg(F.min("id").alias("rep"), F.any_value("bits").alias("bits")), "classes"
     )
-    keyed = linked.select("set_id", "n", "n_index", F.posexplode("keys").alias("at", "key")).select(
-        "key", "set_id", "n", (F.col("at") < F.col("n_index")).alias("idx")
-    )
-    spark = docs.sparkSession
-    late = spark.createDataFrame([(int(k),) for k in _signed(frequent)], "key long")
-    common = F.broadcast(late)  # FREQUENT numbers at most
-    rare = paired_keys(keyed.join(common, "key", "left_anti"))
-    rare = stored(rare, "keys")
-    often = keyed.join(common, "key", "left_semi").distinct()
-    large = often.union(
-        rare.filter("b IS NULL").select("key", F.col("a").alias("set_id"), F.col("a_n").alias("n"), "idx")
-    )
-    large = stored(large, "large")
-    keys = large.groupBy("key").agg(
-        F.count(F.lit(1)).alias("sets"), F.min(F.struct("n", "set_id", "idx")).alias("hub")
-    )
-    keys = stored(keys.filter("sets > 1").withColumn("blocks", F.ceil(F.col("sets") / TILE)), "hubs")
-    placed = large.join(keys, "key").select(
-        "key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "set_id", "n", "idx"
-    )
-    hubs = keys.filter("blocks > 1").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "hub.set_id", "hub.n", "hub.idx"
-    )
+    keyed = linked.select("set_id", "n", F.explode("keys").alias("key"))
+    shared = stored(shared_keys(keyed), "keys")
     bits = classes.select("set_id", "n", "bits")
-    tiles = placed.union(hubs).select("key", "block", "set_id", "n").distinct().join(bits, ["set_id", "n"])
-    forest = _tiled(tiles, _forest, ["set_id", "n", "bits"], PAIR)
-    small = rare.filter("b IS NOT NULL").select("a", "a_n", "b", "b_n").distinct()
-    first = forest.union(_bounded(small, bits)).distinct()
-    links = stored(verified(first, classes, docs, id_column, text), "links")
+    named = [
+        shared.filter(f"{side} IS NOT NULL").select(
+            F.col(side).alias("a"), F.col(f"{side}_n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n")
+        )
+        for side in ("before", "hub")
+    ]
+    bounded = _bounded(named[0].union(named[1]).distinct(), bits)
+    best = F.max_by(F.struct("a", "a_n"), F.struct("most", "a", "a_n")).alias("best")
+    first = stored(bounded.groupBy("b", "b_n").agg(best).select("best.a", "best.a_n", "b", "b_n"), "pairs")
+    links = stored(_represented(verified(first, classes, docs, id_column, text), classes), "links")
     labels = stored(_labels(links, classes), "labels")
 
-    labelled = stored(large.join(labels, ["set_id", "n"]), "labelled")
+    labelled = stored(shared.select("key", "set_id", "n").join(labels, ["set_id", "n"]), "labelled")
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     mains = counts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
     mains = stored(mains.filter("labels > 1").drop("labels"), "mains")
@@ -513,7 +526,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs whose bitmaps allow a link."""
+    """Pairs whose bitmaps allow a link, with the ``most`` similarity that they allow."""
     for side in ("a", "b"):
         pairs = pairs.join(
             bits.select(
@@ -525,13 +538,14 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, 2000):
             n, m = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
-            keep = []
+            bound = []
             for x, y, i, j in zip(batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist(), n, m, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(y) > len(x):
-                    y = y[: len(x)] | y[len(x) :]
+                    y = y[: len(x)] ^ y[len(x) :]
                 most = (i + j - int(np.bitwise_count(x ^ y).sum())) // 2
-                keep.append(MOST * most >= LEAST * (i + j - most))
-            yield batch.select(["a", "a_n", "b", "b_n"]).filter(pa.array(keep))
+                bound.append(most / (i + j - most) if MOST * most >= LEAST * (i + j - most) else -1.0)
+            found = batch.select(["a", "a_n", "b", "b_n"]).append_column("most", pa.array(bound, pa.float64()))
+            yield found.filter(pa.array([m >= 0 for m in bound], pa.bool_()))
 
-    return pairs.select("a", "a_n", "b", "b_n", "a_bits", "b_bits").mapInArrow(tested, PAIR)
+    return pairs.select("a", "a_n", "b", "b_n", "a_bits", "b_bits").mapInArrow(tested, PAIR + ", most double")

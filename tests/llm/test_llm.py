@@ -213,11 +213,11 @@ def brute_components(rows):
     return {(i, len(sets[i]), found[i]) for i in sets}
 
 
-@pytest.mark.parametrize("paired", [12, 1])
-def test_jaccard_join(spark, docs, rows, none, paired, monkeypatch):
-    monkeypatch.setattr(jaccardjoin, "PAIRED", paired)
-    monkeypatch.setattr(jaccardjoin, "TILE", 3)
+@pytest.mark.parametrize(("tile", "partners"), [(2048, 2048), (3, 2)])
+def test_jaccard_join(spark, docs, rows, none, tile, partners, monkeypatch):
+    monkeypatch.setattr(jaccardjoin, "TILE", tile)
     monkeypatch.setattr(jaccardjoin, "TILE_SHINGLES", 500)
+    monkeypatch.setattr(jaccardjoin, "PARTNERS", partners)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     near = []
@@ -226,12 +226,39 @@ def test_jaccard_join(spark, docs, rows, none, paired, monkeypatch):
         for _ in range(rng.randrange(4)):
             words[rng.randrange(60)] = f"x{rng.randrange(9)}"
         near.append((100 + i, " ".join(words), None, None, None, None))
+    # One passage in texts of many sizes: a key of many sets, few of them linked.
+    for i in range(60):
+        words = base[:30] + [f"y{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))]
+        near.append((200 + i, " ".join(words), None, None, None, None))
     frame = docs.union(spark.createDataFrame(near, FIELDS))
     got = {tuple(r) for r in jaccardjoin.jaccard_components(frame).collect()}
     assert got == brute_components([*rows, *near])
     assert jaccardjoin.jaccard_components(none).count() == 0
 
 
+def test_shared_keys(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, 3, *range(10, 200)]), rng.randrange(50), 1) for _ in range(600)]
+    rows = [(k, s, 100 + s % 7) for k, s, _ in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        frame = spark.createDataFrame(rows, "key long, set_id long, n long")
+        found = jaccardjoin.shared_keys(frame).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = defaultdict(set)
+    for k, s, n in rows:
+        sets[k].add((n, s))
+    got = Counter((r.key, r.set_id, r.n) for r in found)
+    assert {(k, s, n) for k in sets if len(sets[k]) > 1 for n, s in sets[k]} <= set(got)
+    assert set(got) <= set(rows) and max(got.values()) == 1
+    for r in found:
+        for other in ((r.before_n, r.before), (r.hub_n, r.hub)):
+            assert other == (None, None) or (other in sets[r.key] and other < (r.n, r.set_id))
+    # Only the first set of a key, or of a task's piece of it, has none before.
+    assert sum(r.before is None for r in found) <= len({r.key for r in found}) + 8
+
+
 def test_language_model(docs, rows, none):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(w for r in rows if not held(r[0]) for w in [*words_of(r[1]), b""])
