@@ -16,7 +16,8 @@ from rolefit.llm.shingles import mixed, shingle_sets
 LEAST, MOST = 75, 100
 # The most frequent shingles come last in the order of keys; so many are told to every task.
 FREQUENT = 1 << 16
-# A tile takes at most about so many sets from either side.
+# Keys with more sets than this go through tiles of at most about TILE sets from either side.
+PAIRED = 12
 TILE = 2048
 # A tile that is intersected exactly takes at most about so many shingles from either side.
 TILE_SHINGLES = 1 << 21
@@ -175,29 +176,25 @@ def _sizes_link(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 
 
 PAIR = "a long, a_n long, b long, b_n long"
-SHARED = "key long, set_id long, n long, before long, before_n long, hub long, hub_n long"
+SHARED = "key long, set_id long, n long, before long, before_n long"
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """From ``key, set_id, n``: the rows of keys that several sets have, once each.
 
-    ``before`` is the set of the key that comes before in order of size and ``hub`` the key's first,
-    where their sizes allow a link. Rows are dealt by ranges of (key, n, set), so a key of any number
-    of sets is spread; a piece of a key has a hub of its own. The first and last key of a task may
-    go on in another one and are always kept.
+    ``before`` is the set of the key that comes before in order of size, where the sizes allow a link.
+    Rows are dealt by ranges of (key, n, set), so a key of any number of sets is spread. The first and
+    last key of a task may go on in another one and are always kept.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_again, hub, edge = None, False, None, None
+        held, held_again, last, edge = None, False, None, None
 
-        def made(rows: np.ndarray, before: np.ndarray, hubs: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(c[keep]) for c in rows]
-            for other in (before, hubs):
-                fits = (other[1] > 0) & _sizes_link(other[1], rows[2]) & (other[0] != rows[1])
-                columns += [pa.array(c[keep], mask=~fits[keep]) for c in other]
+        def made(rows: np.ndarray, before: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+            fits = (before[1] > 0) & _sizes_link(before[1], rows[2])
+            columns = [pa.array(c[keep]) for c in rows] + [pa.array(c[keep], mask=~fits[keep]) for c in before]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SHARED.split(", ")])
 
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -206,28 +203,18 @@ def shared_keys(rows: DataFrame) -> DataFrame:
             if held is not None:
                 rows = np.concatenate((held, rows), axis=1)
             rows = rows[:, _starts(*rows)]
-            k = rows.shape[1]
-            again = np.zeros(k, bool)
-            again[0] = held_again
-            again[1:] = rows[0, 1:] == rows[0, :-1]
-            before = np.zeros((2, k), np.int64)
+            again = np.append(held_again, rows[0, 1:] == rows[0, :-1])
+            before = np.zeros((2, rows.shape[1]), np.int64)
             before[:, 1:] = np.where(again[1:], rows[1:, :-1], 0)
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(k)))
-            hubs = rows[1:, first]
             if held_again:
-                hubs[:, rows[0] == rows[0, 0]] = hub[:, None]
                 before[:, 0] = last
-            hubs = np.where(again & (hubs[0] != before[0]), hubs, 0)
             keep = again | np.append(again[1:], False) | (rows[0] == edge)
-            keep[-1] = False
-            if keep.any():
-                yield made(rows, before, hubs, keep)
             # The last row waits for the next batch, which may go on with its key.
-            hub = (hub if held_again and first[-1] == 0 else rows[1:, first[-1]]) if again[-1] else rows[1:, -1]
+            keep[-1] = False
+            yield made(rows, before, keep)
             last, held, held_again = before[:, -1], rows[:, -1:], bool(again[-1])
         if held is not None:
-            hubs = hub[:, None] if held_again else np.zeros((2, 1), np.int64)
-            yield made(held, last[:, None], hubs, np.ones(1, bool))
+            yield made(held, last[:, None], np.ones(1, bool))
 
     ordered = rows.repartitionByRange("key", "n", "set_id").sortWithinPartitions("key", "n", "set_id")
     return ordered.select("key", "set_id", "n").mapInArrow(found, SHARED)
@@ -370,6 +357,20 @@ def shingles_of(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
     return found.mapInArrow(taken, "set_id long, n long, shingles binary")
 
 
+def _pairs_apart(rows: DataFrame) -> DataFrame:
+    """Pairs of the sets of a key, PAIRED at most, whose labels differ and whose sizes allow a link, once each."""
+    sets = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "set_id", "label"))).alias("sets"))
+    pairs = sets.select("sets", F.posexplode("sets").alias("at", "x"))
+    later = F.filter(
+        F.slice("sets", F.col("at") + 2, PAIRED),
+        lambda y: (y["label"] != F.col("x.label")) & (y["n"] * LEAST <= F.col("x.n") * MOST),
+    )
+    pairs = pairs.select("x", F.explode(later).alias("y"))
+    return pairs.select(
+        F.col("x.set_id").alias("a"), F.col("x.n").alias("a_n"), F.col("y.set_id").alias("b"), F.col("y.n").alias("b_n")
+    ).distinct()
+
+
 def _grid(rows: DataFrame) -> DataFrame:
     """``block, sent`` for rows ``key, main, set_id, n, label``; those outside the main component are also sent.
 
@@ -466,11 +467,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     Equal sets form one class. Sets that share one of their first shingles, frequent ones last, are
     compared, in two passes. In the first, every set meets at most one set: of those that come right before
-    it or first in one of its keys, the one whose bitmap allows the most. The second takes the keys whose
-    sets are still in several components: tiles by band of sizes, where bitmaps bound the overlap
-    from above, name all sets that may be linked with one of another component, and these are
-    intersected tile by tile, handing on only links that join components. So none of those is lost;
-    shingles are told apart by 64-bit hashes.
+    it in one of its keys, the one whose bitmap allows the most. The second takes the keys whose sets are
+    still in several components. Those of up to PAIRED sets give their pairs, once for all keys; larger
+    ones go into tiles by band of sizes. Bitmaps bound the overlap from above, and what remains is
+    intersected, in tiles handing on only links that join components. So none of those is lost; shingles
+    are told apart by 64-bit hashes.
 
     A null or empty text, or one without words, has no shingles and is its own component. Rows with
     a null id have a null component and link nothing. Rows with equal ids count as one document
@@ -486,13 +487,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     keyed = linked.select("set_id", "n", F.explode("keys").alias("key"))
     shared = stored(shared_keys(keyed), "keys")
     bits = classes.select("set_id", "n", "bits")
-    named = [
-        shared.filter(f"{side} IS NOT NULL").select(
-            F.col(side).alias("a"), F.col(f"{side}_n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n")
-        )
-        for side in ("before", "hub")
-    ]
-    bounded = _bounded(named[0].union(named[1]).distinct(), bits)
+    named = shared.filter("before IS NOT NULL").select(
+        F.col("before").alias("a"), F.col("before_n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n")
+    )
+    bounded = _bounded(named.distinct(), bits)
     best = F.max_by(F.struct("a", "a_n"), F.struct("most", "a", "a_n")).alias("best")
     first = stored(bounded.groupBy("b", "b_n").agg(best).select("best.a", "best.a_n", "b", "b_n"), "pairs")
     links = stored(_represented(verified(first, classes, docs, id_column, text), classes), "links")
@@ -500,9 +498,15 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     labelled = stored(shared.select("key", "set_id", "n").join(labels, ["set_id", "n"]), "labelled")
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    mains = counts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+    mains = counts.groupBy("key").agg(
+        F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("sets"), F.count(F.lit(1)).alias("labels")
+    )
     mains = stored(mains.filter("labels > 1").drop("labels"), "mains")
-    rows = _grid(labelled.join(mains, "key").select("key", "main", "set_id", "n", "label"))
+    apart = stored(labelled.join(mains, "key"), "apart")
+    small = _bounded(_pairs_apart(apart.filter(F.col("sets") <= PAIRED)).join(first, ["a", "a_n", "b", "b_n"], "left_anti"), bits)
+    small = stored(small.drop("most"), "pairs")
+    links = links.union(_represented(verified(small, classes, docs, id_column, text), classes))
+    rows = _grid(apart.filter(F.col("sets") > PAIRED).drop("sets"))
     touched = _tiled(
         rows.join(bits, ["set_id", "n"]), _touched, ["main", "set_id", "n", "label", "sent", "bits"],
         "key long, set_id long, n long, label long",

@@ -213,11 +213,12 @@ def brute_components(rows):
     return {(i, len(sets[i]), found[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("tile", "partners"), [(2048, 2048), (3, 2)])
-def test_jaccard_join(spark, docs, rows, none, tile, partners, monkeypatch):
-    monkeypatch.setattr(jaccardjoin, "TILE", tile)
+@pytest.mark.parametrize("paired", [12, 1])
+def test_jaccard_join(spark, docs, rows, none, paired, monkeypatch):
+    monkeypatch.setattr(jaccardjoin, "PAIRED", paired)
+    monkeypatch.setattr(jaccardjoin, "TILE", 3)
     monkeypatch.setattr(jaccardjoin, "TILE_SHINGLES", 500)
-    monkeypatch.setattr(jaccardjoin, "PARTNERS", partners)
+    monkeypatch.setattr(jaccardjoin, "PARTNERS", 2)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     near = []
@@ -253,8 +254,8 @@ def test_shared_keys(spark):
     assert {(k, s, n) for k in sets if len(sets[k]) > 1 for n, s in sets[k]} <= set(got)
     assert set(got) <= set(rows) and max(got.values()) == 1
     for r in found:
-        for other in ((r.before_n, r.before), (r.hub_n, r.hub)):
-            assert other == (None, None) or (other in sets[r.key] and other < (r.n, r.set_id))
+        before = (r.before_n, r.before)
+        assert before == (None, None) or (before in sets[r.key] and before < (r.n, r.set_id))
     # Only the first set of a key, or of a task's piece of it, has none before.
     assert sum(r.before is None for r in found) <= len({r.key for r in found}) + 8
 
