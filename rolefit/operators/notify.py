@@ -1,5 +1,8 @@
 """Mails to candidates, as rows for a sender to pick up."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,9 @@ REJECTED_PROMPT = (
 BODY_WITHOUT_SKILLS = ("the required areas", "a few key areas")
 PROMPT_WITHOUT_SKILLS = ("relevant skills", "some required skills")
 
+# What a mail is known by in the ledger of mails sent.
+MAIL_KEY = ("candidate_id", "job_id", "status")
+
 
 def fill(template: str, values: dict[str, Column]) -> Column:
     """A template as a concatenation of literals and columns."""
@@ -115,3 +121,17 @@ def email_prompts(profiles: DataFrame, shortlist: float = MAIL_SHORTLIST) -> Dat
         "status",
         _by_status(SHORTLISTED_PROMPT, REJECTED_PROMPT, values).alias("prompt"),
     )
+
+
+def unsent_mails(outbox: DataFrame, sent: DataFrame) -> DataFrame:
+    """Mails of an outbox that the ledger ``sent(candidate_id, job_id, status)`` does not hold.
+
+    A candidate is told once per job and status: screening again mails nobody twice, and a changed status
+    mails again. Repeated mails of one key in the outbox leave one, the least by address and text. Keys
+    with a null are compared as values.
+    """
+    mail = F.struct(*(c for c in outbox.columns if c not in MAIL_KEY))
+    once = outbox.groupBy(*MAIL_KEY).agg(F.min(mail).alias("_mail"))
+    told = sent.select(*(F.col(c).alias(f"_{c}") for c in MAIL_KEY)).distinct()
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MAIL_KEY))
+    return once.join(told, same, "left_anti").select(*MAIL_KEY, "_mail.*").select(*outbox.columns)

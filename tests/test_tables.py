@@ -206,3 +206,17 @@ def test_mails(stored):
     assert "{" not in "".join(prompts.values())
     lenient = notify.notification_decisions(profiles, shortlist=50.0)
     assert {r.status for r in lenient.collect()} == {"Shortlisted"}
+
+
+def test_a_mail_is_sent_once_per_status(stored, spark):
+    jobs, candidates, scores = stored
+    outbox = notify.notification_outbox(lookups.candidate_profiles(candidates, jobs, scores))
+    nothing = outbox.select(*notify.MAIL_KEY).limit(0)
+    first = notify.unsent_mails(outbox.union(outbox), nothing)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, outbox.collect()))
+    assert notify.unsent_mails(outbox, first).count() == 0
+    changed = outbox.withColumn("status", F.when(F.col("candidate_id") == 10, "Other").otherwise(F.col("status")))
+    assert [r.candidate_id for r in notify.unsent_mails(changed, first).collect()] == [10]
+    astray = outbox.withColumn("job_id", F.lit(None).cast("long"))
+    assert notify.unsent_mails(astray, first).count() == outbox.count()
+    assert notify.unsent_mails(astray, astray).count() == 0

@@ -621,6 +621,7 @@ FROM profiles""",
     "notification_decisions": _with(*PROFILED, DECISIONS)
     + "SELECT candidate_id, job_id, email, matching_score, status FROM decisions",
     "notification_outbox": OUTBOX,
+    "unsent_mails": f"SELECT * FROM ({OUTBOX}) WHERE job_id % 2 <> 0 OR candidate_id % 2 = 1",
     "email_prompts": _with(*PROFILED, DECISIONS)
     + "SELECT candidate_id, job_id, email, status, "
     + _by_status(notify.SHORTLISTED_PROMPT, notify.REJECTED_PROMPT, notify.PROMPT_WITHOUT_SKILLS)

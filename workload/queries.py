@@ -451,6 +451,14 @@ def notification_outbox(spark, d):
     return notify.notification_outbox(st.screened(spark, d))
 
 
+def unsent_mails(spark, d):
+    """The outbox after even jobs were mailed, and of those with odd candidates under another status."""
+    outbox = notify.notification_outbox(st.screened(spark, d))
+    other = F.when(F.col("candidate_id") % 2 == 1, F.lit("Pending")).otherwise(F.col("status"))
+    sent = outbox.filter(F.col("job_id") % 2 == 0).withColumn("status", other)
+    return notify.unsent_mails(outbox, sent)
+
+
 def email_prompts(spark, d):
     return notify.email_prompts(st.screened(spark, d))
 
@@ -513,7 +521,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     candidate_profiles, first_score, candidates_for_job, delete_jobs, delete_candidates,
     processed_counts, candidate_counts, rank_candidates, top_k_candidates, list_jobs,
     latest_job_candidates, report_status, score_band, candidate_report, notification_decisions,
-    notification_outbox, email_prompts, screen_stream, screen_stream_late_jobs,
+    notification_outbox, unsent_mails, email_prompts, screen_stream, screen_stream_late_jobs,
 )
 
 
