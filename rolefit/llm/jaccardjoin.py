@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolefit.llm.common import stored
 from rolefit.llm.components import components
 from rolefit.llm.shingles import mixed, shingle_sets
+from rolefit.plans.joins import sized_join
 
 # Similarity as a fraction: links need MOST * intersection >= LEAST * union.
 LEAST, MOST = 75, 100
@@ -339,7 +340,7 @@ def _linked(sid, n, label, sent, shingles: list[bytes]) -> tuple[np.ndarray, ...
 def shingles_of(classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``set_id, n, shingles`` of some classes, from the texts of their representatives."""
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
-    found = texts.join(classes.select("rep", "set_id", "n"), "rep").select("set_id", "n", "text")
+    found = sized_join(texts, classes.select("rep", "set_id", "n"), ["rep"]).select("set_id", "n", "text")
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches, BATCH):
@@ -418,9 +419,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: s
     The text of ``a`` is sent once for up to PARTNERS of its pairs, that of ``b`` once per pair.
     """
     sides = pairs.select(F.col("a").alias("set_id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n"))
-    needed = classes.select("rep", "set_id", "n").join(sides.distinct(), ["set_id", "n"])
+    needed = stored(classes.select("rep", "set_id", "n").join(sides.distinct(), ["set_id", "n"]), "needed")
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stored(texts.join(needed, "rep").select("set_id", "n", "text"), "texts")
+    # Texts stay where they are as long as the list of those needed is measured to fit every task.
+    texts = stored(sized_join(texts, needed, ["rep"]).select("set_id", "n", "text"), "texts")
     parts = pairs.groupBy("a", "a_n").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
     of_a = texts.select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), "text").join(parts, ["a", "a_n"])
     none = F.lit(None).cast("long")
@@ -513,7 +515,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     )
     # Keys around one component share most of their sets: these meet once for all keys.
     touched = stored(touched.distinct(), "touched")
-    needed = classes.join(touched.select("set_id", "n").distinct(), ["set_id", "n"])
+    needed = stored(classes.drop("bits").join(touched.select("set_id", "n").distinct(), ["set_id", "n"]), "needed")
     sets = stored(shingles_of(needed, docs, id_column, text), "sets")
     more = _tiled(
         _grid(touched.withColumn("main", F.col("key"))).join(sets, ["set_id", "n"]),
