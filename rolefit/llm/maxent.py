@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from rolefit.llm.common import stored, whole
 
-# Words that every task knows: a bound on what is told to all. The others meet their counts by a join.
-HEAD = 1 << 18
+# Words that every task knows, at most: a bound on what is told to all. The others meet their counts by a join.
+HEAD = 1 << 16
+# Counts are told apart by so many steps from one power of two to the next where the head ends.
+COUNT_STEPS = 64
 FORMS, BINS, TAILS = 8, 7, 8
 END_CLASS = FORMS * BINS
 CLASSES = END_CLASS + 1 + TAILS
@@ -56,6 +58,23 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
     )
 
 
+def least_head_count(counts: DataFrame) -> int:
+    """The count from which on a word belongs to the head: HEAD words have it at most.
+
+    Words are counted by the logarithm of their count, so a few thousand sums reach the driver; words
+    of the step that would go beyond HEAD are all left out.
+    """
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
+    words, least = 0, (1 << 63) - 1
+    for row in steps.orderBy(F.desc("step")).collect():
+        words += row["words"]
+        if words > HEAD:
+            break
+        least = row["least"]
+    return least
+
+
 def tail_form(word: bytes) -> int:
     """The class of a word outside the head, by its last two bytes."""
     return zlib.crc32(word[-2:]) % TAILS
@@ -275,8 +294,9 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     training = rows.filter(~F.col("held_out"))
     counts = stored(word_counts(training, "text"), "words")
     train_tokens, known_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    vocabulary = Vocabulary([bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)) if len(top) else Vocabulary([END], np.array([1]))
+    least = least_head_count(counts)
+    top = sorted((-r["n"], bytes(r["word"])) for r in counts.filter(F.col("n") >= least).toLocalIterator())
+    vocabulary = Vocabulary([w for _, w in top] or [END], np.array([-n for n, _ in top] or [1], np.int64))
     shared = spark.sparkContext.broadcast(vocabulary)
     statistics = stored(context_counts(training, "text", shared), "contexts")
     bias, skip, own = trained(statistics)
@@ -336,7 +356,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         ),
         "scored",
     )
-    ranks = counts.join(F.broadcast(spark.createDataFrame([(bytes(w),) for w in top["word"]], "word binary")), "word", "left_anti")
+    ranks = counts.filter(F.col("n") < least)
     ranks = stored(ranks.withColumn("form", F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(TAILS))), "tail")
     forms = ranks.groupBy("form").agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("places"))
     places = F.lit(None).cast("double")
