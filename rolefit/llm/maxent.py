@@ -33,25 +33,34 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+# Words counted apart before they are handed on, and rows of a slice: bounds on a worker's memory.
+COUNTED = 1 << 18
+SLICE_ROWS = 250
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for large in batches:
         for start in range(0, large.num_rows, rows):
             yield large.slice(start, rows)
 
 
 def word_counts(training: DataFrame, text: str) -> DataFrame:
-    """``word, n`` of all words and ends of the training texts, counted by batch, then by word."""
+    """``word, n`` of all words and ends of the training texts, counted by stretches of rows, then by word."""
+
+    def rows_of(counts: Counter[bytes]) -> pa.RecordBatch:
+        columns = [pa.array([*counts], pa.binary()), pa.array([*counts.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[bytes] = Counter()
+        counts: Counter[bytes] = Counter()
+        for batch in _slices(batches):
             for value in batch.column(0):
                 counts.update(words_of(value.as_py()))
-            counts[END] = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*counts], pa.binary()), pa.array([*counts.values()], pa.int64())],
-                names=["word", "n"],
-            )
+            counts[END] += batch.num_rows
+            if len(counts) >= COUNTED:
+                yield rows_of(counts)
+                counts = Counter()
+        yield rows_of(counts)
 
     return training.select(text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n")
@@ -153,8 +162,7 @@ def context_counts(training: DataFrame, text: str, shared) -> DataFrame:
         for batch in _slices(batches):
             numbers, first, _ = numbered(batch.column(0).to_pylist(), vocabulary)
             before, skip, own = vocabulary.contexts(numbers, first)
-            cells, n = np.unique((before * (CLASSES + 1) + skip) * CLASSES + own, return_counts=True)
-            total[cells] += n.astype(np.int32)
+            np.add.at(total, (before * (CLASSES + 1) + skip) * CLASSES + own, 1)
         for block, part in enumerate(total.reshape(BLOCKS, -1)):
             found = np.flatnonzero(part).astype(np.int32)
             if len(found):
@@ -225,6 +233,15 @@ class Weights:
         return np.stack((counts.reshape(square).sum(0), expected.reshape(square).sum(0)))
 
 
+def class_table(bias: np.ndarray, skip: np.ndarray, own: dict[int, bytes]) -> np.ndarray:
+    """log10 probability of every class in every context: BEFORE x (CLASSES + 1) rows of fixed number."""
+    contexts = np.arange(IN_BLOCK * (CLASSES + 1))
+    table = np.empty((BLOCKS, len(contexts), CLASSES), np.float32)
+    for block in range(BLOCKS):
+        table[block] = Weights(bias, skip, own.get(block)).log_probabilities(contexts) / np.log(10)
+    return table.reshape(-1, CLASSES)
+
+
 def trained(statistics: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
     """Weights by rounds of distributed gradient updates.
 
@@ -305,22 +322,13 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     seen = train_tokens > 0
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, (bias, skip_weights, own_weights) = shared.value, model.value
-        blocks = {k: Weights(bias, skip_weights, v) for k, v in own_weights.items()}
-        none = Weights(bias, skip_weights, None)
+        vocabulary, table = shared.value, class_table(*model.value)
         base_of = np.log10((vocabulary.counts + 1) / space) if seen else np.zeros(len(vocabulary.counts))
         size = len(vocabulary.counts)
         for batch in _slices(batches):
             numbers, first, words = numbered(batch.column("text").to_pylist(), vocabulary)
             before, skip, own = vocabulary.contexts(numbers, first)
-            contexts, where = np.unique(before * (CLASSES + 1) + skip, return_inverse=True)
-            table = np.empty((len(contexts), CLASSES))
-            block = contexts // (IN_BLOCK * (CLASSES + 1))
-            for k in np.unique(block):
-                table[block == k] = blocks.get(int(k), none).log_probabilities(
-                    contexts[block == k] - k * IN_BLOCK * (CLASSES + 1)
-                )
-            score = table[where, own] / np.log(10)
+            score = table[before * (CLASSES + 1) + skip, own].astype(np.float64)
             head = numbers < size
             score[head] += vocabulary.in_class[numbers[head]]
             base = np.where(head, base_of[np.minimum(numbers, size - 1)], 0.0)

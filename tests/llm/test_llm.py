@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rolefit.llm import jaccardjoin, linededup, mixing, oracles, quality, spotsigs, suffixdedup, surrogates, tokenfiles
+from rolefit.llm import maxent
 from rolefit.llm.maxent import score_texts
 from rolefit.llm.piecebpe import PieceEncoder, digests, encode_pieces
 from rolefit.llm.suffixes import suffix_array
@@ -273,6 +274,66 @@ def test_language_model(docs, rows, none):
     assert score_texts(none).count() == 0
 
 
+@pytest.mark.parametrize("head", [40, 1 << 16])
+def test_probabilities_token_by_token(spark, docs, rows, head, monkeypatch):
+    """The score from the weights, one token after the other; probabilities of the next word sum to one."""
+    monkeypatch.setattr(maxent, "HEAD", head)
+    texts = [r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    counts = Counter(w for t in texts for w in [*words_of(t), b""])
+    table = spark.createDataFrame([*counts.items()], "word binary, n long")
+    least = maxent.least_head_count(table)
+    top = sorted((-n, w) for w, n in counts.items() if n >= least)
+    assert len(top) <= head and (len(top) == len(counts) or head == 40)
+    vocabulary = maxent.Vocabulary([w for _, w in top], np.array([-n for n, _ in top], np.int64))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    bias, skip, own = maxent.trained(maxent.stored(maxent.context_counts(training, "text", shared), "contexts"))
+
+    def class_of(word):
+        return int(vocabulary.classes[vocabulary[word]])
+
+    def classes_after(before, two_before):
+        """Softmax over the sums of weights, in plain Python; None stands for no word."""
+        bucket = 0 if before is None else int(vocabulary.before[vocabulary[before]])
+        far = maxent.CLASSES if two_before is None else class_of(two_before)
+        block, row = divmod(bucket, maxent.IN_BLOCK)
+        weights = maxent.Weights(bias, skip, own.get(block))
+        pair = maxent.PAIR_OF[row * (maxent.CLASSES + 1) + far]
+        sums = [
+            bias[c] + skip[far][c] + weights.before[row][c] + weights.pairs[pair][c] for c in range(maxent.CLASSES)
+        ]
+        whole_sum = math.log(sum(math.exp(x - max(sums)) for x in sums)) + max(sums)
+        return [math.exp(x - whole_sum) for x in sums]
+
+    members = defaultdict(list)
+    for word, n in counts.items():
+        members[class_of(word)].append((word, n))
+
+    def in_class(word):
+        of = members[class_of(word)]
+        if vocabulary[word] < len(top):
+            return counts[word] / sum(n for _, n in of)
+        return (counts[word] + 1) / (sum(n + 1 for _, n in of) + 1)
+
+    for r in score_texts(docs).collect():
+        words = [*words_of(dict((x[0], x[1]) for x in rows)[r.doc_id]), b""]
+        total, past = 0.0, [None, None]
+        for word in words[:300]:
+            total += math.log10(classes_after(past[1], past[0])[class_of(word)] * in_class(word))
+            past = [past[1], word]
+        if len(words) <= 300:
+            assert abs(total - r.score) < 1e-4 * max(1, -total)
+    for before, two_before in ((None, None), (b"of", None), (b"vier", b"zwei"), (b"of", b"the")):
+        chances = classes_after(before, two_before)
+        known = sum(chances[class_of(w)] * in_class(w) for w in counts)
+        # What is left belongs to words never seen, and to classes without a word.
+        unseen = sum(
+            p if not members[c] else p / (sum(n + 1 for _, n in members[c]) + 1) if c > maxent.END_CLASS else 0.0
+            for c, p in enumerate(chances)
+        )
+        assert abs(known + unseen - 1) < 1e-9
+
+
 def test_fingerprints(spark, docs, rows, none):
     found = defaultdict(set)
     ordered = sorted({(r[0], r[1] or "") for r in rows}, reverse=True)
