@@ -2,13 +2,14 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
 from rolefit.functions.binding import explode_once, let
 from rolefit.functions.text import sum_of_squares, term_counts
 from rolefit.plans.joins import fits_broadcast, salted_join, sized_join, text_size
+from rolefit.session import scratch_path
 
 
 def term_frequencies(
@@ -178,6 +179,74 @@ def tfidf_all_pairs(
     )
 
 
+def shared_part(least: float) -> float:
+    """The part of a text's squared term counts that must be shared for a score of ``least``.
+
+    With parts A and B shared, a score is at most 100 f(A) f(B), f(x) = sqrt(x / (k - (k - 1) x)), k the
+    squared weight of a term that one text has; f grows to 1, so each side alone must reach ``least``.
+    Scores are rounded to two decimals, so half a step less is enough.
+    """
+    square = max(0.0, (least - 0.0051) / 100) ** 2
+    return square * sc.IDF_OF_ONE_SQUARED / (1 + square * (sc.IDF_OF_ONE_SQUARED - 1))
+
+
+def tfidf_over(
+    resumes: DataFrame,
+    jobs: DataFrame,
+    least: float,
+    stop_words: Iterable[str] | None = None,
+) -> DataFrame:
+    """Every résumé and job whose TF-IDF score is ``least`` or more (above 0), and no other pair.
+
+    A job's terms are ordered from those that few jobs have to those that many have. The first term a
+    pair shares has to lie before what follows is too little for ``least``, so only the terms up to
+    there are met by the terms of the résumés. What a pair shares of them, with all that comes after,
+    rules most pairs out; the others are scored from both texts.
+    """
+    if least <= 0:
+        raise ValueError("least has to be above 0")
+    part = shared_part(least)
+    job_tf = F.col("job_tf")
+    terms = (
+        job_terms(jobs, stop_words)
+        .select("job_id", "nb", explode_once(F.col("job_terms")).alias("c"))
+        .select("job_id", "nb", "c.term", F.col("c.tf").alias("job_tf"))
+        .filter(F.col("term").isNotNull())
+    )
+    holders = terms.groupBy("term").agg(F.count(F.lit(1)).alias("holders"))
+    after = Window.partitionBy("job_id").orderBy("holders", "term").rowsBetween(0, Window.unboundedFollowing)
+    index = (
+        terms.join(holders, "term")
+        .withColumn("mass", F.sum(job_tf * job_tf).over(after))
+        .filter(F.col("mass") >= part * F.col("nb"))
+    )
+    before = Window.partitionBy("job_id")
+    index = index.withColumn(
+        "later", F.min(F.col("mass") - job_tf * job_tf).over(before)
+    ).select("job_id", "nb", "term", "job_tf", "later")
+    found = term_frequencies(resumes, "candidate_id", "resume_text", stop_words)
+    pairs = (
+        sized_join(found, index, ["term"], spread="candidate_id", bound=3 * job_terms_bound(jobs))
+        .groupBy("candidate_id", "job_id")
+        .agg(
+            F.sum(job_tf * job_tf).alias("sb"),
+            F.max("nb").alias("nb"),
+            F.max("later").alias("later"),
+        )
+        .filter(F.col("sb") + F.col("later") >= part * F.col("nb"))
+        .select("candidate_id", "job_id")
+    )
+    pairs = pairs.transform(_written)
+    return tfidf_pairs(pairs, resumes, jobs, stop_words).filter(F.col("tfidf") >= least)
+
+
+def _written(frame: DataFrame) -> DataFrame:
+    """The frame from files in the shared folder: it is read more than once."""
+    path = scratch_path(frame.sparkSession, "pairs")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def semantic_similarity(resume_vectors: DataFrame, job_vectors: DataFrame) -> DataFrame:
     """Embedding cosine of every résumé with its job; NULL where either vector is missing.
 

@@ -535,6 +535,8 @@ FROM matches""",
     "tfidf_applied": _with(*BASE, TFIDF) + "SELECT candidate_id, job_id, tfidf FROM tfidf",
     "tfidf_all_pairs": _with(*ALL_PAIRS, ALL_PAIR_TFIDF)
     + "SELECT candidate_id, job_id, tfidf FROM tfidf",
+    "tfidf_over": _with(*ALL_PAIRS, ALL_PAIR_TFIDF)
+    + "SELECT candidate_id, job_id, tfidf FROM tfidf WHERE tfidf >= 30",
     "semantic_similarity": """WITH pairs AS (
   SELECT r.vec_id AS candidate_id, j.vec_id AS job_id, CAST(r.embedding AS DOUBLE[]) AS a,
     CAST(j.embedding AS DOUBLE[]) AS b
@@ -591,6 +593,22 @@ FROM profiles""",
             ("scores", "score_id", "scores"),
         )
     ),
+    "published_deletes": _with(*SCORED)
+    + """, gone AS (SELECT job_id FROM jobs WHERE contains(description, 'and')),
+toxic AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT 'jobs' AS table_name, job_id AS id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM gone)
+UNION ALL
+"""
+    + "\nUNION ALL\n".join(
+        f"SELECT '{label}' AS table_name, {key} AS id FROM {source} "
+        "WHERE job_id NOT IN (SELECT job_id FROM gone) AND candidate_id NOT IN (SELECT doc_id FROM toxic)"
+        for label, key, source in (
+            ("candidates", "candidate_id", "resumes"),
+            ("scores", "score_id", "scores"),
+        )
+    ),
+    "candidate_by_id": _with(*BASE, CANDIDATES)
+    + f"{ALL_COLUMNS} candidates WHERE candidate_id = (SELECT max(candidate_id) FROM candidates)",
     "processed_counts": _with(*BASE)
     + """SELECT j.job_id, count(r.candidate_id) AS processed
 FROM jobs j LEFT JOIN (SELECT * FROM resumes WHERE resume_text <> '') r USING (job_id)

@@ -15,7 +15,7 @@ from rolefit.operators.skills import explode_skills as explode_tags
 from rolefit.operators.skills import extract_skills as skills_of
 from rolefit.plans.screening import screen_resumes
 from rolefit.session import configure, scratch_path
-from rolefit.sources import archives, exports, files, ingest, tables
+from rolefit.sources import archives, candidate_index, exports, files, ingest, snapshots, tables
 from rolefit.streaming.screen import read_screened
 from rolefit.streaming.screen import screen_stream as start_screening
 from workload import standins as st
@@ -244,6 +244,10 @@ def tfidf_pairs(spark, d):
     return similarity.tfidf_pairs(st.pairs(spark, d), st.plain_resumes(spark, d), st.jobs(spark, d))
 
 
+def tfidf_over(spark, d):
+    return similarity.tfidf_over(st.plain_resumes(spark, d), st.jobs(spark, d), 30.0)
+
+
 def semantic_similarity(spark, d):
     return similarity.semantic_similarity(st.resume_vectors(spark, d), st.job_vectors(spark, d))
 
@@ -385,6 +389,38 @@ def delete_candidates(spark, d):
     )
 
 
+def _toxic(spark, d):
+    toxic = st.table(spark, d, "labels").filter(F.col("toxic") == 1)
+    return toxic.select(F.col("doc_id").alias("candidate_id"))
+
+
+def published_deletes(spark, d):
+    """Published tables after deletes that are applied, jobs before a compaction, candidates after one."""
+    root = scratch_path(spark, "published")
+    for name, frame in (
+        ("jobs", st.jobs(spark, d)), ("candidates", st.candidates(spark, d)), ("scores", st.scores(spark, d))
+    ):
+        snapshots.publish(frame, root, name)
+    snapshots.delete_published_candidates(_toxic(spark, d), root)
+    snapshots.compact(spark, root)
+    snapshots.delete_published_jobs(_jobs_to_delete(spark, d), root)
+    return _survivors(
+        {name: snapshots.read_published(spark, root, name) for name in ("jobs", "candidates", "scores")},
+        {"jobs": "job_id", "candidates": "candidate_id", "scores": "score_id"},
+    )
+
+
+def candidate_by_id(spark, d):
+    """The candidate of the last document, by the index of the stored candidates."""
+    root = scratch_path(spark, "tables")
+    tables.write_table(st.candidates(spark, d), root, "candidates")
+    stored = tables.read_table(spark, root, "candidates")
+    index = scratch_path(spark, "index")
+    candidate_index.write_candidate_index(stored, index)
+    last = stored.agg(F.max("candidate_id")).first()[0]
+    return _with_minute(candidate_index.candidate_by_id(spark, index, stored, last))
+
+
 def processed_counts(spark, d):
     return counts.processed_counts(st.jobs(spark, d), st.scores(spark, d))
 
@@ -517,9 +553,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     parse_profiles, split_skills, explode_skills, format_experience, extract_skills,
     extract_default_skills, extract_document_fields, extract_phrases, tfidf_pairs, score_pairs,
     screen_with_embeddings, match_skills, keyword_score, term_frequencies, tfidf_applied,
-    tfidf_all_pairs, semantic_similarity, blend_scores, score_candidates, score_all_pairs,
-    candidate_profiles, first_score, candidates_for_job, delete_jobs, delete_candidates,
-    processed_counts, candidate_counts, rank_candidates, top_k_candidates, list_jobs,
+    tfidf_all_pairs, tfidf_over, semantic_similarity, blend_scores, score_candidates, score_all_pairs,
+    candidate_profiles, first_score, candidates_for_job, delete_jobs, delete_candidates, published_deletes,
+    candidate_by_id, processed_counts, candidate_counts, rank_candidates, top_k_candidates, list_jobs,
     latest_job_candidates, report_status, score_band, candidate_report, notification_decisions,
     notification_outbox, unsent_mails, email_prompts, screen_stream, screen_stream_late_jobs,
 )
