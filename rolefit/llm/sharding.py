@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from rolefit.llm.common import stored, whole
 from rolefit.session import scratch_path
 
-# Bytes of records that one task holds while it shuffles them.
-BUCKET_BYTES = 48 << 20
+# Bytes of records that one task holds while it shuffles them; a list, its copies and the shuffled
+# one take several times as much.
+BUCKET_BYTES = 8 << 20
 LAWS = ("rows", "key")
 
 

@@ -82,3 +82,13 @@ def test_empty_table(spark):
         assert got.count() == 0 and "grown_shard" in got.columns
     with pytest.raises(ValueError):
         shard_documents(none, 8, "size")
+
+
+def test_a_task_shuffles_a_small_bucket(spark):
+    # 24 MB of records: one task may not hold them all.
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text"))
+    path = scratch_path(spark, "shards")
+    write_shards(docs, path, 8)
+    written = read_shards(spark, path).groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+    bytes_of = [r.held for r in written.agg(F.sum(F.octet_length("text")).alias("held")).collect()]
+    assert sum(bytes_of) == 24_000_000 and max(bytes_of) < 16_000_000
