@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from rolefit.functions import scores as sc
@@ -136,6 +136,18 @@ def tfidf_pairs(
     return met.select("candidate_id", "job_id", value.alias("tfidf"))
 
 
+def _shared_terms(counted: DataFrame, jobs: DataFrame, stop_words: Iterable[str] | None) -> GroupedData:
+    """``counted(candidate_id, term, …)`` with the jobs that have the term, by pair."""
+    index = (
+        job_terms(jobs, stop_words)
+        .select("job_id", "nb", explode_once(F.col("job_terms")).alias("c"))
+        .select("job_id", "nb", "c.term", F.col("c.tf").alias("job_tf"))
+        .filter(F.col("term").isNotNull())
+    )
+    bound = 2 * job_terms_bound(jobs)
+    return sized_join(counted, index, ["term"], spread="candidate_id", bound=bound).groupBy("candidate_id", "job_id")
+
+
 def tfidf_all_pairs(
     resumes: DataFrame, jobs: DataFrame, stop_words: Iterable[str] | None = None
 ) -> DataFrame:
@@ -150,18 +162,9 @@ def tfidf_all_pairs(
         .select("candidate_id", "na", explode_once(F.col("counts")).alias("c"))
         .select("candidate_id", "na", "c.term", "c.tf")
     )
-    index = (
-        job_terms(jobs, stop_words)
-        .select("job_id", "nb", explode_once(F.col("job_terms")).alias("c"))
-        .select("job_id", "nb", "c.term", F.col("c.tf").alias("job_tf"))
-        .filter(F.col("term").isNotNull())
-    )
     tf, job_tf = F.col("tf"), F.col("job_tf")
     return (
-        sized_join(
-            counted, index, ["term"], spread="candidate_id", bound=2 * job_terms_bound(jobs)
-        )
-        .groupBy("candidate_id", "job_id")
+        _shared_terms(counted, jobs, stop_words)
         .agg(
             F.sum(tf * job_tf).alias("dot"),
             F.sum(tf * tf).alias("sa"),
@@ -198,44 +201,31 @@ def tfidf_over(
 ) -> DataFrame:
     """Every résumé and job whose TF-IDF score is ``least`` or more (above 0), and no other pair.
 
-    A job's terms are ordered from those that few jobs have to those that many have. The first term a
-    pair shares has to lie before what follows is too little for ``least``, so only the terms up to
-    there are met by the terms of the résumés. What a pair shares of them, with all that comes after,
-    rules most pairs out; the others are scored from both texts.
+    The terms of the résumés meet those of the jobs where the texts lie, and only sums per pair are
+    shuffled. They bound the score from above, which rules out all pairs but those that reach ``least``
+    and, where ids repeat, some of the same ids; these are scored from both texts.
     """
     if least <= 0:
         raise ValueError("least has to be above 0")
     part = shared_part(least)
-    job_tf = F.col("job_tf")
-    terms = (
-        job_terms(jobs, stop_words)
-        .select("job_id", "nb", explode_once(F.col("job_terms")).alias("c"))
-        .select("job_id", "nb", "c.term", F.col("c.tf").alias("job_tf"))
-        .filter(F.col("term").isNotNull())
-    )
-    holders = terms.groupBy("term").agg(F.count(F.lit(1)).alias("holders"))
-    after = Window.partitionBy("job_id").orderBy("holders", "term").rowsBetween(0, Window.unboundedFollowing)
-    index = (
-        terms.join(holders, "term")
-        .withColumn("mass", F.sum(job_tf * job_tf).over(after))
-        .filter(F.col("mass") >= part * F.col("nb"))
+    counted = (
+        resume_terms(resumes, stop_words)
+        .select("candidate_id", "na", explode_once(F.col("counts")).alias("c"))
+        .select("candidate_id", "na", "c.term", "c.tf")
+        .filter(F.col("candidate_id").isNotNull() & F.col("term").isNotNull())
     )
-    before = Window.partitionBy("job_id")
-    index = index.withColumn(
-        "later", F.min(F.col("mass") - job_tf * job_tf).over(before)
-    ).select("job_id", "nb", "term", "job_tf", "later")
-    found = term_frequencies(resumes, "candidate_id", "resume_text", stop_words)
-    pairs = (
-        sized_join(found, index, ["term"], spread="candidate_id", bound=3 * job_terms_bound(jobs))
-        .groupBy("candidate_id", "job_id")
-        .agg(
-            F.sum(job_tf * job_tf).alias("sb"),
-            F.max("nb").alias("nb"),
-            F.max("later").alias("later"),
-        )
-        .filter(F.col("sb") + F.col("later") >= part * F.col("nb"))
-        .select("candidate_id", "job_id")
+    sums = _shared_terms(counted, jobs, stop_words).agg(
+        F.sum(F.col("tf") * F.col("job_tf")).alias("dot"),
+        F.sum(F.col("tf") * F.col("tf")).alias("sa"),
+        F.sum(F.col("job_tf") * F.col("job_tf")).alias("sb"),
+        F.min("na").alias("na"),
+        F.min("nb").alias("nb"),
     )
+    # Rows with equal ids only add to the sums, and what is left of a text is more than with all shared.
+    shared_a, shared_b = F.least("sa", "na"), F.least("sb", "nb")
+    most = sc.tfidf_score(F.col("dot"), shared_a, shared_b, F.col("na"), F.col("nb"))
+    enough = (shared_a >= part * F.col("na")) & (shared_b >= part * F.col("nb"))
+    pairs = sums.filter(enough).filter(most >= least).select("candidate_id", "job_id")
     pairs = pairs.transform(_written)
     return tfidf_pairs(pairs, resumes, jobs, stop_words).filter(F.col("tfidf") >= least)
 
