@@ -203,16 +203,18 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         import io
         import zipfile
 
-        import pandas
+        import pyarrow as pa
 
         for batch in batches:
-            for path, members in zip(batch["path"], batch["members"], strict=True):
+            # Only one archive of a batch is held as Python objects.
+            for row in range(batch.num_rows):
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr("folder/", "")
-                    for member in members:
+                    for member in batch.column("members")[row].as_py():
                         archive.writestr(member["entry"], member["text"])
-                yield pandas.DataFrame({"path": [path], "content": [held.getvalue()]})
+                content = pa.array([held.getvalue()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(row, 1), content], ["path", "content"])
 
     return (
         table(spark, sf_dir, "documents")
@@ -222,7 +224,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .groupBy("path")
         .agg(F.sort_array(F.collect_list("member")).alias("members"))
-        .mapInPandas(pack, "path string, content binary")
+        .mapInArrow(pack, "path string, content binary")
     )
 
 
@@ -234,10 +236,9 @@ def stored_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         import os
         from urllib.parse import unquote, urlparse
 
-        import pandas
-
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, packed in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                content = packed.as_py()
                 parsed = urlparse(path)
                 if parsed.scheme in ("", "file"):
                     local = unquote(parsed.path) if parsed.scheme else path
@@ -250,10 +251,10 @@ def stored_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
                     store, inside = fs.FileSystem.from_uri(path)
                     with store.open_output_stream(inside) as held:
                         held.write(content)
-            yield pandas.DataFrame({"path": batch["path"]})
+            yield batch.select(["path"])
 
     named = archives(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{root}/"), "path"))
-    return stored(named.mapInPandas(write, "path string"), "archive-paths")
+    return stored(named.mapInArrow(write, "path string"), "archive-paths")
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
