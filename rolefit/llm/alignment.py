@@ -19,13 +19,13 @@ from rolefit.llm.tokenfiles import TextEncoder
 from rolefit.plans.joins import salted_join
 
 # UTF-8 bytes of texts whose windows are numbered together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # Windows, and stretches of text, that a worker remembers; tokens spelled at once.
-REMEMBERED = 300_000
-REMEMBERED_STRETCHES = 200_000
+REMEMBERED = 150_000
+REMEMBERED_STRETCHES = 100_000
 SPELLED = 1 << 18
 # Rows encoded at once: what they share is met once.
-SLICE_ROWS = 600
+SLICE_ROWS = 400
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 SCORES = ("n_best", "count_sum")
 
