@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefit.plans.joins import sized_join
+from rolefit.plans.joins import fits_broadcast, sized_join
+from rolefit.plans.layout import stored
 from rolefit.schemas import RESUMES
 from rolefit.sources.files import assemble_text, classify_files, file_id
 
@@ -39,14 +40,17 @@ def ingest_resumes(
 
     ``pages(path, entry, page_no, text)`` are the texts of the documents' pages, ``entry`` empty or null
     for direct ones. A document without pages has an empty text. Ids meet first; only pages of
-    documents that are new are put together.
+    documents that are new are put together. The new documents, without their texts, are written to the
+    shared folder: uploads and members are read once.
     """
     documents = uploaded_documents(uploads, members)
     if taken is not None:
         documents = documents.join(taken.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    documents = stored(documents, "new-documents")
     place = file_id(F.col("path"), F.coalesce("entry", F.lit("")))
     keyed = pages.select(place.alias("candidate_id"), "page_no", "text")
-    wanted = keyed.join(documents.select("candidate_id"), "candidate_id", "left_semi")
+    new = documents.select("candidate_id")
+    wanted = keyed.join(F.broadcast(new) if fits_broadcast(new) else new, "candidate_id", "left_semi")
     texts = assemble_text(wanted, key="candidate_id")
     found = documents.join(texts, "candidate_id", "left")
     found = found.withColumn("resume_text", F.coalesce("text", F.lit("")))

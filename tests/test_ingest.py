@@ -113,3 +113,23 @@ def test_every_document_is_taken_in_once(spark, tmp_path):
     assert none.count() == 0
     ids = {r.candidate_id for r in uploaded_documents(more, members).collect()}
     assert ids == {r.candidate_id for r in got}
+
+
+def test_uploads_and_members_are_read_once(spark, tmp_path):
+    """A mark per row that was computed: the list of new documents is made once, its texts come later."""
+    uploads = spark.createDataFrame([("a.pdf", 1, None), ("b.zip", 2, None)], UPLOADS)
+    pages = spark.createDataFrame([("a.pdf", None, 0, "one"), ("b.zip", "x.pdf", 0, "two")], "path string, entry string, page_no int, text string")
+    marks = str(tmp_path)
+
+    def open_archives(batches):
+        import uuid
+
+        for batch in batches:
+            for _ in range(len(batch)):
+                open(f"{marks}/{uuid.uuid4().hex}", "w").close()
+            yield batch
+
+    members = spark.createDataFrame([("b.zip", "x.pdf", "x.pdf")], "archive string, entry string, member string")
+    found = ingest_resumes(uploads, members.mapInPandas(open_archives, members.schema), pages)
+    assert sorted((r.filename, r.job_id, r.resume_text) for r in found.collect()) == [("a.pdf", 1, "one\n"), ("x.pdf", 2, "two\n")]
+    assert len(list(tmp_path.iterdir())) == 1

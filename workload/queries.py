@@ -13,6 +13,7 @@ from rolefit.operators.profiles import parse_profiles as parse
 from rolefit.operators.report import candidate_report as report
 from rolefit.operators.skills import explode_skills as explode_tags
 from rolefit.operators.skills import extract_skills as skills_of
+from rolefit.plans.layout import stored as kept
 from rolefit.plans.screening import screen_resumes
 from rolefit.session import configure, scratch_path
 from rolefit.sources import archives, candidate_index, exports, files, ingest, snapshots, tables
@@ -60,7 +61,8 @@ def ingest_resumes(spark, d):
     """Half of the uploads, then all, then all once more: the last adds nothing."""
     root = scratch_path(spark, "ingested")
     uploads, pages = st.uploads(spark, d), st.upload_pages(spark, d)
-    members = files.expand_archives(st.archives(spark, d))
+    # An index of the archives, which every round reads: they are opened once.
+    members = kept(files.expand_archives(st.archives(spark, d)).drop("content"), "members")
     for part in (uploads.filter(F.col("job_id") % 2 == 0), uploads, uploads):
         taken = ingest.take_in(spark, part, members, pages, root)
     return _with_minute(taken.drop("candidate_id"))

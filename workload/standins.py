@@ -263,7 +263,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     doc_id = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint")
     paths = upload_names(spark, sf_dir).filter("NOT path LIKE '%.Zip'")
-    paths = paths.unionByName(archives(spark, sf_dir).select("path"))
+    paths = paths.unionByName(table(spark, sf_dir, "documents").select(_archive_path().alias("path")).distinct())
     return paths.select(
         "path",
         (doc_id % n).alias("job_id"),
