@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolefit.operators.notify import notification_outbox
 from rolefit.operators.similarity import semantic_similarity
+from rolefit.plans.joins import sized_join
 from rolefit.plans.screening import PreparedJobs, prepare_jobs, screen_prepared
 from rolefit.schemas import CANDIDATES, JOBS, RESUMES, SCORES
 from rolefit.session import ensure_checkpoint_dir
@@ -109,7 +110,12 @@ class Screening:
         keys = ["candidate_id", "job_id"]
         # Only another run into the same target has seen a résumé of this one before.
         taken = before.filter(F.col("run") != run).select(*keys).distinct()
-        rows = resumes.select(*RESUMES.fieldNames()).join(taken, keys, "left_anti")
+        # A batch has few files, and readers split them into parts of which most may be without rows: its
+        # texts are dealt to all cores. A hash of a hash, as files may have been dealt by the hash of an id.
+        parts = max(target.spark.sparkContext.defaultParallelism, resumes.rdd.getNumPartitions())
+        rows = resumes.select(*RESUMES.fieldNames()).repartition(parts, F.xxhash64(*keys))
+        # What was taken before is measured, and sent to the texts where it fits.
+        rows = sized_join(rows, taken, keys, "left_anti")
         if fresh:
             waiting = before.filter("waiting IS NOT NULL").select("waiting.*")
             done = before.filter("waiting IS NULL").select(*keys)

@@ -133,3 +133,16 @@ def test_a_job_that_is_changed_counts_from_then_on(spark, inputs, tmp_path):
     assert scores[3] == "sql" and scores[12] == "sql" and len(scores) == 6
     matched = {r.candidate_id: r.matched_skills for r in read_screened(spark, target, "scores").filter("job_id = 1").collect()}
     assert matched[3] == "python" and matched[12] == ""
+
+
+def test_a_batch_of_one_file_is_given_to_all_cores(spark, inputs, tmp_path):
+    """Also where its file was dealt by the hash of the ids into as many as there are cores."""
+    _, jobs, vocabulary = inputs
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(400).select(F.col("id").alias("candidate_id"), F.lit(1).cast("long").alias("job_id"), F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("filename"), F.lit("python").alias("resume_text"), F.lit(None).cast("timestamp").alias("created_at"))
+    resumes = many.filter(F.pmod(F.hash("candidate_id"), F.lit(cores)) == 0)
+    arrivals, target = str(tmp_path / "in"), str(tmp_path / "out")
+    resumes.coalesce(1).write.parquet(arrivals)
+    screen_stream(spark, arrivals, jobs, vocabulary, target, str(tmp_path / "p"), files_per_batch=1).awaitTermination()
+    assert len(glob.glob(f"{target}/{PROFILES}/run=*/batch=0/part-*")) == cores
+    assert rows_of(spark, target) == expected(spark, resumes, jobs, vocabulary, tmp_path)
