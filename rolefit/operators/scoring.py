@@ -1,6 +1,7 @@
 """Scores of résumés against jobs, for applications and for every pair."""
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -342,6 +343,25 @@ def _evidence_shuffled(
     return shared_terms.select(*shared_skills.columns).unionByName(shared_skills)
 
 
+def _listed_skills(features: DataFrame) -> DataFrame:
+    """The skills of each job with the mask and the bit that tell whether a résumé has them.
+
+    ``job_skills`` is sorted and without repeats, and so are the parts of it that a pair has or lacks.
+    """
+
+    def listed(skill: Column, position: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position % MASK_BITS)
+        word = F.floor(position / MASK_BITS).cast("int")
+        return F.struct(skill.alias("skill"), word.alias("word"), bit.alias("bit"))
+
+    return features.select(
+        "job_id",
+        F.transform("job_skills", listed).alias("listed"),
+        sk.join_skills(F.col("job_skills")).alias("all_skills"),
+        "nb",
+    )
+
+
 def score_all_pairs(
     resumes: DataFrame,
     jobs: DataFrame,
@@ -391,48 +411,48 @@ def score_all_pairs(
         F.max("na").alias("na"),
         *(mask(w) for w in words),
     )
-    masks = F.array(*(F.col(f"mask_{w}") for w in words))
+    masks = [F.col(f"mask_{w}") for w in words]
+    n_matched = reduce(Column.__add__, (F.bit_count(m) for m in masks))
     scored = sized_join(
         pairs,
-        features.select("job_id", "job_skills", "nb"),
+        _listed_skills(features),
         ["job_id"],
         spread="candidate_id",
         limit=limit,
-        bound=bound,
+        bound=2 * bound,
     ).select(
         "candidate_id",
         "job_id",
-        "job_skills",
-        let(
-            masks,
-            lambda m: F.filter(
-                F.col("job_skills"),
-                lambda s, i: F.call_function(
-                    "getbit",
-                    F.get(m, F.floor(i / MASK_BITS).cast("int")),
-                    (i % MASK_BITS).cast("int"),
-                )
-                == 1,
-            ),
-        ).alias("matched"),
+        "listed",
+        "all_skills",
+        n_matched.alias("n_matched"),
+        *masks,
         sc.tfidf_score(F.col("dot"), F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")).alias(
             "tfidf"
         ),
     )
-    keyword = sc.keyword_score(F.col("matched"), F.col("job_skills"))
+    # The score needs the number of matched skills only; the lists are built for pairs that have one.
+    keyword = F.col("n_matched") / F.size("listed") * 100
+    score = sc.blend_scores(keyword, F.col("tfidf"), F.lit(None).cast("double"))
+
+    def names(matched: bool) -> Column:
+        def own(s: Column) -> Column:
+            mask = masks[-1]
+            for word in reversed(words[:-1]):
+                mask = F.when(s["word"] == word, masks[word]).otherwise(mask)
+            return (mask.bitwiseAND(s["bit"]) != 0) == F.lit(matched)
+
+        return sk.join_skills(F.filter("listed", own)["skill"])
+
+    none = F.col("n_matched") == 0
     return (
-        scored.withColumn(
-            "matching_score",
-            sc.blend_scores(keyword, F.col("tfidf"), F.lit(None).cast("double")),
-        )
+        scored.withColumn("matching_score", score)
         .filter(F.col("matching_score") > 0)
         .select(
             "candidate_id",
             "job_id",
             "matching_score",
-            sk.join_skills(F.col("matched")).alias("matched_skills"),
-            sk.join_skills(sk.missing_skills(F.col("job_skills"), F.col("matched"))).alias(
-                "missing_skills"
-            ),
+            F.when(none, "").otherwise(names(True)).alias("matched_skills"),
+            F.when(none, F.col("all_skills")).otherwise(names(False)).alias("missing_skills"),
         )
     )

@@ -81,6 +81,13 @@ def test_pairs_shuffle_no_text(inputs, kind):
     assert not [line for line in path[first:] if "resume_text" in line or "lowered" in line]
 
 
+def test_score_of_all_pairs_needs_no_list_of_skills(inputs):
+    scored = scoring.score_all_pairs(*inputs)
+    assert re.search(r"filter\((listed|job_skills)#", plan_of(scored))
+    counted = plan_of(scored.groupBy("job_id").count())
+    assert not re.search(r"filter\((listed|job_skills)#", counted) and "bit_count" in counted
+
+
 def test_tokens_meet_the_vocabulary_in_place(inputs):
     resumes, _, vocabulary = inputs
     plan = plan_of(extract_skills(resumes, vocabulary, "candidate_id", "resume_text"))
