@@ -19,10 +19,24 @@ REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-# Any white space but blanks and newlines: texts with it, or with a special token, go as a whole.
-OTHER_SPACE = re.compile(r"[^\S \n]")
-JOINED = re.compile(r"[ \n](?s:.*)[^ \n]").fullmatch
-STRETCH = re.compile(r"[ \n]*[^\W_]+|[ \n]*(?:[^\w \n]|_)+[^\W_]*|[ \n]+")
+# Texts of up to so many characters are cut at once.
+SLICE_CHARS = 1 << 21
+# Kinds of characters. Texts with any white space but blanks and newlines go as a whole.
+GAP, LETTER, MARK, OTHER_SPACE = range(4)
+JOINED = re.compile(rb"[ \n](?s:.*)[^ \n]").fullmatch
+_kinds: list[np.ndarray] = []
+
+
+def kinds_of(text: str) -> np.ndarray:
+    """The kind of every character: blank or newline, letter or digit, mark, other white space."""
+    if not _kinds:
+        chars = [chr(i) for i in range(0x110000)]
+        kind = [LETTER if c.isalnum() else OTHER_SPACE if c.isspace() else MARK for c in chars]
+        kind[ord(" ")] = kind[ord("\n")] = GAP
+        _kinds.append(np.array(kind, np.uint8))
+    if text.isascii():
+        return np.frombuffer(text.encode().translate(_kinds[0][:256].tobytes()), np.uint8)
+    return _kinds[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
 class TextEncoder:
@@ -36,61 +50,100 @@ class TextEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
         self.remembered = remembered
-        added = self.library.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # A byte-level vocabulary has one character for every byte.
         tokens = map(self.library.id_to_token, range(self.library.get_vocab_size()))
         self.lengths = np.array([len(t) for t in tokens])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def cut_apart(self, stretches: list[str]) -> Iterator[tuple[str, bytes]]:
+    def cut_apart(self, stretches: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of stretches that begin with white space and end otherwise, from one text of many.
 
         The tokenizer cuts before their white space; the byte lengths of the tokens tell where.
         """
         for start in range(0, len(stretches), 2000):
             part = stretches[start : start + 2000]
-            ids = self.plain(["".join(part)])[0]
+            ids = self.plain([b"".join(part).decode()])[0]
             ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
-            stops = np.searchsorted(ends, np.cumsum([len(s.encode()) for s in part])) + 1
+            stops = np.searchsorted(ends, np.cumsum([len(s) for s in part])) + 1
             cuts = [0, *(4 * stops).tolist()]
             yield from zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = lambda t: OTHER_SPACE.search(t) or self.special.search(t)
-        cut = [None if odd(t) else STRETCH.findall(t) for t in texts]
-        stretches: set[str] = set()
-        for found in cut:
-            if found:
-                stretches.update(found)
+    def known(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of distinct stretches."""
+        found = [*map(self.young.get, stretches)]
+        places = [i for i, ids in enumerate(found) if ids is None]
         missing = []
-        for stretch in stretches.difference(self.young):
-            ids = self.old.get(stretch)
+        for i in places:
+            ids = self.old.get(stretches[i])
             if ids is None:
-                missing.append(stretch)
+                missing.append(stretches[i])
             else:
-                self.young[stretch] = ids
+                self.young[stretches[i]] = ids
         self.young.update(self.cut_apart([s for s in missing if JOINED(s)]))
         apart = [s for s in missing if not JOINED(s)]
         for start in range(0, len(apart), 2000):
             part = apart[start : start + 2000]
-            self.young.update(zip(part, self.plain(part), strict=True))
-        of = self.young.__getitem__
-        ids = [
-            self.plain([t])[0] if found is None else b"".join(map(of, found))
-            for t, found in zip(texts, cut, strict=True)
-        ]
+            self.young.update(zip(part, self.plain([s.decode() for s in part]), strict=True))
+        for i in places:
+            found[i] = self.young[stretches[i]]
         for stretch in missing:
             if len(stretch) > LONGEST_REMEMBERED:
                 del self.young[stretch]
         if len(self.young) >= self.remembered:
             self.old, self.young = self.young, {}
-        return ids
+        return found
+
+    def encode_slice(self, texts: list[str]) -> list[bytes]:
+        """Cuts all texts at once; each distinct stretch is looked up once and its ids dealt by Arrow."""
+        joined = "".join(texts)
+        kinds = kinds_of(joined)
+        starts = np.cumsum([0, *map(len, texts)])
+        if (kinds == OTHER_SPACE).any() or any(s in joined for s in self.special):
+            odd = [
+                (kinds[a:b] == OTHER_SPACE).any() or any(s in t for s in self.special)
+                for t, a, b in zip(texts, starts, starts[1:], strict=False)
+            ]
+            # A special token may also stand where two texts meet.
+            if any(odd):
+                cut = iter(self.encode_slice([t for t, whole in zip(texts, odd, strict=True) if not whole]))
+                return [self.plain([t])[0] if whole else next(cut) for t, whole in zip(texts, odd, strict=True)]
+        if not joined:
+            return [b""] * len(texts)
+        # A stretch is white space with letters, or with marks and letters after them.
+        gap, new = kinds == GAP, np.zeros(len(kinds) + 1, bool)
+        new[1:-1] = (gap[1:] & ~gap[:-1]) | ((kinds[1:] == MARK) & (kinds[:-1] == LETTER))
+        new[starts] = True
+        at = np.flatnonzero(new)
+        raw = joined.encode()
+        places = at
+        if len(raw) > len(joined):
+            firsts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            places = np.append(firsts, len(raw))[at]
+        held = pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)
+        coded = pa.LargeStringArray.from_buffers(len(at) - 1, *held).dictionary_encode()
+        _, ends, held = coded.dictionary.buffers()
+        ends, held = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1].tolist(), held.to_pybytes()
+        stretches = [held[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        found = pa.array(self.known(stretches), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(at)]
+        ids, cuts = found.buffers()[2].to_pybytes(), ends[np.searchsorted(at, starts)].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, part, size = [], [], 0
+        for text in texts:
+            if part and size + len(text) > SLICE_CHARS:
+                ids += self.encode_slice(part)
+                part, size = [], 0
+            part.append(text)
+            size += len(text)
+        return ids + self.encode_slice(part) if part else ids
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -115,8 +168,8 @@ def encode_tokens(docs: DataFrame, tokenizer: str, text: str = "text", end_id: i
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for large in batches:
-            for start in range(0, large.num_rows, 200):
-                batch = large.slice(start, 200)
+            for start in range(0, large.num_rows, 1000):
+                batch = large.slice(start, 1000)
                 found = own.encode(batch.column("_text").to_pylist())
                 lengths = np.array([len(f) // 4 + 1 for f in found], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)

@@ -151,6 +151,21 @@ def test_special_tokens_and_white_space():
     assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
 
 
+def test_stretches_are_looked_up_once_a_slice(monkeypatch):
+    encoder, rng, seen = tokenfiles.TextEncoder(BYTES, remembered=50), random.Random(4), []
+    known = encoder.known
+    monkeypatch.setattr(encoder, "known", lambda stretches: seen.append(stretches) or known(stretches))
+    monkeypatch.setattr(tokenfiles, "SLICE_CHARS", 300)
+    parts = ["a", "ab", " ", "\n", "é", "😀", "Straße", "'s", "12", "!!", "_", "²", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(400)]
+    # A special token where two texts meet is none; white space of other kinds sends its text as a whole.
+    texts += ["", "a <|endof", "text|> b", "a\u2003b", "", "same same\n" * 200, "<|endoftext|>"]
+    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
+    assert all(len(set(stretches)) == len(stretches) for stretches in seen)
+    assert len(seen) < len(texts) and [b"same", b" same", b"\nsame", b"\n"] in seen
+
+
 def test_pieces(docs, rows, none):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = Counter()
