@@ -178,6 +178,10 @@ class PieceEncoder:
             self.young[word] = known
         return known
 
+    def forget(self) -> None:
+        """Drop the words and pairs that are remembered."""
+        self.pairs, self.young, self.old = {}, {}, {}
+
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
         if not text:
@@ -214,14 +218,18 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
-        for large in batches:
-            for start in range(0, large.num_rows, 500):
-                batch = large.slice(start, 500)
-                ids = [own.encode(t.as_py()) for t in batch.column("_text")]
-                columns = [batch.column(n) for n in batch.schema.names if n != "_text"]
-                names = [n for n in batch.schema.names if n != "_text"]
-                columns += [pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "decoded"])
+        try:
+            for large in batches:
+                for start in range(0, large.num_rows, 500):
+                    batch = large.slice(start, 500)
+                    ids = [own.encode(t.as_py()) for t in batch.column("_text")]
+                    columns = [batch.column(n) for n in batch.schema.names if n != "_text"]
+                    names = [n for n in batch.schema.names if n != "_text"]
+                    columns += [pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "decoded"])
+        finally:
+            # The worker waits for other tasks, also of later steps, and holds no words meanwhile.
+            own.forget()
 
     return kept.mapInArrow(encoded, schema)
 

@@ -9,13 +9,14 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rolefit.llm import jaccardjoin, linededup, mixing, oracles, quality, spotsigs, suffixdedup, surrogates, tokenfiles
-from rolefit.llm import maxent
+from rolefit.llm import maxent, piecebpe
 from rolefit.llm.maxent import score_texts
 from rolefit.llm.piecebpe import PieceEncoder, digests, encode_pieces
 from rolefit.llm.suffixes import suffix_array
@@ -183,6 +184,16 @@ def test_pieces(docs, rows, none):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
 
 
+def test_a_task_of_pieces_leaves_no_words_behind(spark, monkeypatch):
+    rows = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, made, schema: made)
+    task, batch = encode_pieces(rows, PIECES), pa.RecordBatch.from_pydict({"doc_id": [1, 2], "_text": ["one two", "in  on"]})
+    encoder, made = piecebpe.encoder(PIECES), task(iter([batch, batch]))
+    assert next(made).num_rows == 2 and encoder.young
+    assert sum(b.num_rows for b in made) == 2
+    assert not (encoder.young or encoder.old or encoder.pairs)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(300):
